@@ -59,9 +59,13 @@ def latest_rows(rows: DataFrame, compared: Sequence[str]) -> DataFrame:
 
 
 def _cells(rows: DataFrame, cells: int, seed: int) -> DataFrame:
-    """Lookup-table cells: count and XORs per (snap, bucket, cell)."""
+    """Lookup-table cells: count and XORs per (snap, bucket, cell).
+
+    The digest takes part in choosing the cells; else both rows of a changed key would fall on the same cells and their
+    counts would cancel out. The bucket depends on the key alone, so both come out of the same table.
+    """
     third = max(1, cells // HASHES)
-    at = F.array(*[F.lit(i * third) + F.pmod(F.xxhash64(F.lit(seed * 7 + i).cast("bigint"), "k1", "k2"), F.lit(third)) for i in range(HASHES)])
+    at = F.array(*[F.lit(i * third) + F.pmod(F.xxhash64(F.lit(seed * 7 + i).cast("bigint"), "k1", "k2", "dg"), F.lit(third)) for i in range(HASHES)])
     return (
         rows.select("snap", "bucket", "k1", "k2", "dg", F.xxhash64(F.lit(seed).cast("bigint"), "k1", "k2", "dg").alias("chk"), F.explode(at).alias("cell"))
         .groupBy("snap", "bucket", "cell")
@@ -127,7 +131,7 @@ def peel(n, k1, k2, dg, chk, cells: int, seed: int):
         real = pure[xxhash64_longs(seed, k1[pure], k2[pure], dg[pure]) == chk[pure]]
         if not len(real):
             break
-        at = np.stack([i * third + np.mod(xxhash64_longs(seed * 7 + i, k1[real], k2[real]), third) for i in range(HASHES)])
+        at = np.stack([i * third + np.mod(xxhash64_longs(seed * 7 + i, k1[real], k2[real], dg[real]), third) for i in range(HASHES)])
         keep = (at == real).any(axis=0)
         real, at = real[keep], at[:, keep]
         # One entry may be pure in several cells; the first cell counts.
@@ -161,12 +165,12 @@ def _peeler(cells: int, seed: int):
         got = peel(*table, cells, seed)
         if got is None:
             return pd.DataFrame({"pair": [pair], "bucket": [bucket], "k1": None, "k2": None, "later_dg": None, "earlier_dg": None, "kind": ["failed"]})
-        e = pd.DataFrame(dict(zip(("k1", "k2", "dg", "sign"), got)))
+        e = pd.DataFrame(dict(zip(("k1", "k2", "dg", "sign"), got))).astype({"dg": "Int64"})  # nullable: a float would lose bits
         both = e[e.sign == 1].drop(columns="sign").merge(e[e.sign == -1].drop(columns="sign"), on=["k1", "k2"], how="outer", suffixes=("_l", "_e"), indicator=True)
         kind = both["_merge"].astype(str).map({"both": "changed", "left_only": "added", "right_only": "removed"})
         return pd.DataFrame({
             "pair": pair, "bucket": bucket, "k1": both.k1, "k2": both.k2,
-            "later_dg": both.dg_l.astype("Int64"), "earlier_dg": both.dg_e.astype("Int64"), "kind": kind,
+            "later_dg": both.dg_l, "earlier_dg": both.dg_e, "kind": kind,
         })
 
     return run

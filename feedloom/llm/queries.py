@@ -5,18 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leakage
+from feedloom.llm import leakage, nearduplicates
 from feedloom.runtime import table
 
 
+def _title_and_summary():
+    return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
+
+
+def _similar_records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return nearduplicates.similar_texts(table(spark, sf_dir, "fitness"), "id", _title_and_summary(), width=3, threshold=0.5, min_words=40)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of records whose three-word sequences agree by half or more."""
+    return nearduplicates.similar_pairs(*_similar_records(spark, sf_dir))
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record long enough to compare, with its group and the number of its links."""
+    return nearduplicates.similar_groups(*_similar_records(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with a run of 12 or more words of an evaluation item."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p7_found": p7_found}
+QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
 
 SQL = {
+    "p5_found": """
+WITH t AS (SELECT id, regexp_extract_all(lower(any_value(coalesce(title, '') || ' ' || coalesce(summary, ''))), '[\\p{L}\\p{N}]+') AS w FROM fitness WHERE id IS NOT NULL GROUP BY id),
+     s AS (SELECT DISTINCT id, array_to_string(w[k:k + 2], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS k FROM t WHERE len(w) >= 40)),
+     n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+     c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c
+""",
     "p7_found": """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
      i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),

@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leakage, nearduplicates
+from feedloom.llm import leakage, nearduplicates, truncation
 from feedloom.runtime import table
 
 
+def _judged_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.judge(table(spark, sf_dir, "fitness"), "id", "source_id", "summary")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose summary was cut."""
+    return _judged_summaries(spark, sf_dir).filter("is_cut").select("id")
+
+
+def p1_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its summaries."""
+    return truncation.shares(_judged_summaries(spark, sf_dir)).withColumnRenamed("source", "source_id")
+
+
 def _title_and_summary():
     return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
 
@@ -32,7 +46,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
 
 SQL = {
     "p5_found": """

@@ -16,10 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from feedloom.llm.words import WordHashes, mixed, shingles, words
 from feedloom.operators.components import components
@@ -53,21 +51,10 @@ def sketch(sets: list[np.ndarray], groups: int) -> np.ndarray:
             usable = empty & ~np.roll(least == _TOP, -step, axis=1)
             register = np.where(usable, source ^ np.uint16(step), register)
             empty &= ~usable
-        out[:, g * BUCKETS : (g + 1) * BUCKETS] = register
+        out[:, g::groups] = register  # neighbours in a row come from different hash functions
     return out
 
 
-def bands(registers: np.ndarray, rows: int) -> np.ndarray:
-    """Band hashes; the registers of one band come from different hash functions."""
-    n = registers.shape[1] // rows
-    order = np.arange(n * rows).reshape(rows, n)  # band j has registers j, n + j, 2n + j
-    r = registers.astype(np.uint64)
-    key = np.zeros((len(r), n), np.uint64)
-    for i in range(rows):
-        key = mixed(key ^ r[:, order[i]], 77 + i)
-    return mixed(key + np.arange(n, dtype=np.uint64)[None, :], 5).astype(np.int64)
-
-
 #: Chance that registers of different minima agree: their zeros agree with 1/3, their mantissas with 2^-MANTISSA.
 ACCIDENTAL = 2.0**-MANTISSA / 3
 
@@ -77,33 +64,28 @@ def estimated(equal: np.ndarray, n: int) -> np.ndarray:
     return np.maximum(0.0, (equal / n - ACCIDENTAL) / (1 - ACCIDENTAL))
 
 
-_CLASSES = "id string, class binary, registers binary, bands array<bigint>, shingles binary"
-
-
-def _sketcher(width: int, min_words: int, groups: int, band_rows: int, chunk: int = 512):
+def _sketcher(width: int, min_words: int, groups: int, chunk: int = 512):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for pdf in batches:
             for start in range(0, len(pdf), chunk):
                 part = pdf.iloc[start : start + chunk]
-                ids, classes, sets = [], [], []
-                for i, t in zip(part["id"], part["text"]):
+                classes, sets = [], []
+                for k, t in zip(part["class"], part["text"]):
                     ws = words(t)
                     if len(ws) >= max(min_words, width):
-                        ids.append(i)
-                        classes.append(xxhash.xxh128_digest("\x00".join(ws)))
-                        sets.append(np.unique(shingles(np.fromiter((known[w] for w in ws), np.uint64, len(ws)), width)))
+                        classes.append(k)
+                        sets.append(shingle_set(ws, width, known))
                 if sets:
-                    r = sketch(sets, groups)
-                    yield pd.DataFrame({
-                        "id": ids, "class": classes, "registers": [x.tobytes() for x in r],
-                        "bands": list(bands(r, band_rows)), "shingles": [x.tobytes() for x in sets],
-                    })
+                    yield pd.DataFrame({"class": classes, "registers": [x.tobytes() for x in sketch(sets, groups)]})
 
     return run
 
 
-@F.pandas_udf(DoubleType())
+def shingle_set(ws: list[str], width: int, known: WordHashes) -> np.ndarray:
+    return np.unique(shingles(np.fromiter((known[w] for w in ws), np.uint64, len(ws)), width))
+
+
 def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype=float)
@@ -111,59 +93,74 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(estimated((x == y).sum(axis=1), x.shape[1]))
 
 
-@F.pandas_udf(DoubleType())
-def _jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.empty(len(a))
-    for i, (x, y) in enumerate(zip(a, b)):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        out[i] = common / (len(x) + len(y) - common)
-    return pd.Series(out)
+def _jaccard(width: int):
+    known = WordHashes()
+
+    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.empty(len(a))
+        for i, (x, y) in enumerate(zip(a, b)):
+            x, y = shingle_set(words(x), width, known), shingle_set(words(y), width, known)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out[i] = common / (len(x) + len(y) - common)
+        return pd.Series(out)
+
+    return similarity
 
 
 def similar_texts(
     records: DataFrame, id: str, text: Column, *, width: int = 5, threshold: float = 0.8, min_words: int = 5,
-    groups: int = 12, band_rows: int = 3, sigmas: float = 4.0,
+    groups: int = 9, band_rows: int = 3, sigmas: float = 4.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (links: class_a, class_b, similarity) of the texts whose similarity reaches the threshold.
 
-    Texts with the same words are one class; links join different classes, class_a < class_b. Similarity is the Jaccard
-    similarity of the sets of runs of `width` words. Texts of less than min_words words (or width, if that is more),
-    null and empty ones among them, are left out. A repeated row counts once. Other columns are ignored.
+    Equal texts are one class; links join different classes, class_a < class_b. Similarity is the Jaccard similarity of
+    the sets of runs of `width` words. Texts of less than min_words words (or width, if that is more), null and empty
+    ones among them, are left out. A repeated row counts once. Other columns are ignored.
+
+    With 24 bands of 3 registers two texts of similarity 0.5 share a band with probability 0.96, of 0.6 with 0.997, of
+    0.8 with 0.99999999; raise `groups` for more. The band table holds two numbers per text and band.
     """
-    source = records.select(F.col(id).cast("string").alias("id"), text.alias("text")).filter("id is not null")
-    sketched = stage(source.mapInPandas(_sketcher(width, min_words, groups, band_rows), _CLASSES), "sketches")
-    members = sketched.select("id", "class").distinct()
+    source = records.select(F.col(id).cast("string").alias("id"), text.alias("text")).filter("id is not null and text is not null")
+    source = source.withColumn("class", F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(7), "text"))))
+    sketched = source.select("class", "text").mapInPandas(_sketcher(width, min_words, groups), "class string, registers binary")
+    of = stage(sketched.groupBy(F.unhex("class").alias("class")).agg(F.first("registers").alias("registers")), "sketches")
     # 64 bits stand for the class in the bands; the class itself decides later.
-    banded = sketched.select(F.xxhash64("class").alias("c"), F.explode("bands").alias("band")).distinct()
-    candidates = (
+    n = groups * BUCKETS // band_rows
+    size = 2 * band_rows
+    keys = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.xxhash64(j, F.col("registers").substr(j * size + 1, F.lit(size))))
+    banded = of.select(F.xxhash64("class").alias("c"), F.explode(keys).alias("band"))
+    candidates = stage(
         banded.alias("x").join(banded.alias("y"), "band").filter("x.c < y.c")
-        .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+        .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct(), "candidates",
     )
-    of = sketched.select(F.xxhash64("class").alias("c"), "class", "registers", "shingles").dropDuplicates(["class"])
-    of = stage(of, "classes")
-    n = groups * BUCKETS
-    least = threshold - sigmas * (threshold * (1 - threshold) / n) ** 0.5
-    regs = of.select("c", "registers")
-    near = (
-        candidates.join(regs.select(F.col("c").alias("a"), F.col("registers").alias("ra")), "a")
-        .join(regs.select(F.col("c").alias("b"), F.col("registers").alias("rb")), "b")
-        .select("a", "b", _estimate("ra", "rb").alias("estimate")).filter(F.col("estimate") >= least)
+    least = threshold - sigmas * (threshold * (1 - threshold) / (groups * BUCKETS)) ** 0.5
+    estimate = F.pandas_udf(_estimate, "double")
+    regs = of.select(F.xxhash64("class").alias("c"), "class", "registers")
+    near = stage(
+        candidates.join(regs.select(F.col("c").alias("a"), F.col("class").alias("class_a"), F.col("registers").alias("ra")), "a")
+        .join(regs.select(F.col("c").alias("b"), F.col("class").alias("class_b"), F.col("registers").alias("rb")), "b")
+        .filter(estimate("ra", "rb") >= least).select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b")),
+        "near",
     )
-    full = of.select("c", "class", "shingles")
+    needed = near.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
+    full = source.withColumn("class", F.unhex("class"))
+    # One text per class that is a candidate; the others' texts don't outlive this join.
+    texts = stage(full.select("class", "text").join(needed, "class", "left_semi").groupBy("class").agg(F.min("text").alias("text")), "texts")
+    jaccard = F.pandas_udf(_jaccard(width), "double")
     links = (
-        near.join(full.select(F.col("c").alias("a"), F.col("class").alias("class_a"), F.col("shingles").alias("sa")), "a")
-        .join(full.select(F.col("c").alias("b"), F.col("class").alias("class_b"), F.col("shingles").alias("sb")), "b")
-        .select("class_a", "class_b", _jaccard("sa", "sb").alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
-        .select(F.least("class_a", "class_b").alias("class_a"), F.greatest("class_a", "class_b").alias("class_b"), "similarity")
+        near.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("ta")), "class_a")
+        .join(texts.select(F.col("class").alias("class_b"), F.col("text").alias("tb")), "class_b")
+        .select("class_a", "class_b", jaccard("ta", "tb").alias("similarity")).filter(F.col("similarity") >= threshold)
     )
-    return members, links
+    members = full.select("id", "class").join(of.select("class"), "class", "left_semi").distinct()
+    return members, stage(links, "links")
 
 
 def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: the links between records, copies included. For callers that need every pair."""
-    copies = members.alias("x").join(members.alias("y"), "class").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
+    repeated = members.groupBy("class").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("class")
+    same = members.join(repeated, "class", "left_semi")
+    copies = same.alias("x").join(same.alias("y"), "class").select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     across = (
         links.join(members.select(F.col("class").alias("class_a"), F.col("id").alias("a")), "class_a")
         .join(members.select(F.col("class").alias("class_b"), F.col("id").alias("b")), "class_b")

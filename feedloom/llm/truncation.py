@@ -39,7 +39,7 @@ MARKER = re.compile(
     re.I,
 )
 #: What a transfer leaves of a code point, entity, tag or escape it broke.
-BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|&#?[a-z0-9]{0,8}|<[^<>]{0,200}|\\+(?:u[0-9a-f]{0,3}|x[0-9a-f]?)?|%[0-9a-f]?)$", re.I)
+BROKEN = re.compile(r"(?:�|[\ud800-\udfff]|&(?:[a-z]{0,8}|#[0-9]{0,6}|#x[0-9a-fA-F]{0,6})|<[a-z/!][^<>]{0,200}|\\+(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?)$")
 CLOSERS = "\"'”’»«›‹)\\]"
 CLOSED = re.compile(rf"[.!?][{CLOSERS}]*$")
 BOUNDARY = re.compile(rf"[.!?][{CLOSERS}]*\s+")
@@ -107,7 +107,7 @@ def _read(text: str) -> tuple:
 
 
 _READ = (
-    "what string, id string, source string, len int, kind string, last string, two string, one string, signature string, "
+    "what string, id string, source string, chars int, bytes int, kind string, last string, two string, one string, signature string, "
     "loose boolean, key string, a bigint, b bigint"
 )
 _COLUMNS = [c.split()[0] for c in _READ.split(", ")]
@@ -125,15 +125,18 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not text:
                 continue
             kind, last, two, one, signature, loose = _read(text)
-            rows.append(("row", id_, source, len(text), kind, last, two, one, signature, loose, None, None, None))
+            rows.append(("row", id_, source, len(text), len(text.encode("utf-8", "surrogatepass")), kind, last, two, one, signature, loose, None, None, None))
             units = _units(_masked(text.rstrip()))
             for i, unit in enumerate(units):
                 tokens = TOKEN.findall(unit)
                 if not tokens:
                     continue
                 done = i + 1 < len(units) or kind == "closed"
+                if not done and kind != "open":
+                    continue  # what a marker or a broken end follows may be a part of a word
                 inner.update(map(_token, tokens[:-1]))
-                labels = set(_labels(unit, len(units) == 1))
+                alone = len(units) == 1
+                labels = {*_labels(unit, alone), "1|*" if alone else "n|*"}
                 if done:
                     final[_token(tokens[-1])] += 1
                     closed.update(labels)
@@ -141,9 +144,11 @@ def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     opened.update(labels)
                     opened.update(f"{label}|{signature}" for label in labels)
                     opened["w|" + _token(tokens[-1])] += 1
+                    if alone:
+                        opened["a|" + _token(tokens[-1])] += 1
         counts = [("word", k, inner[k], final[k]) for k in inner.keys() | final.keys()]
         counts += [("label", k, opened[k], closed[k]) for k in opened.keys() | closed.keys()]
-        rows += [(w,) + (None,) * 9 + (k, a, b) for w, k, a, b in counts]
+        rows += [(w,) + (None,) * 10 + (k, a, b) for w, k, a, b in counts]
         yield pd.DataFrame(rows, columns=_COLUMNS)
 
 
@@ -198,16 +203,30 @@ def censoring_by_length(lengths: np.ndarray, opened: np.ndarray, closed: np.ndar
 
 
 def _limits(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("len")
-    spike, posterior = censoring_by_length(*(pdf[c].to_numpy(float) for c in ("len", "opened", "closed")))
-    return pd.DataFrame({"source": pdf["source"], "len": pdf["len"], "is_limit": spike, "censored": posterior})
+    """One source's limits, in the unit in which its strongest limit stands out more."""
+    found = []
+    for unit, part in sorted(pdf.groupby("unit"), reverse=True):
+        part = part.sort_values("len")
+        spike, posterior = censoring_by_length(*(part[c].to_numpy(float) for c in ("len", "opened", "closed")))
+        strongest = part["opened"].to_numpy()[spike].max() if spike.any() else 0
+        found.append((strongest, pd.DataFrame({"source": part["source"], "unit": unit, "len": part["len"], "is_limit": spike, "censored": posterior})))
+    return max(found, key=lambda x: x[0])[1]
 
 
 # --- verdicts --------------------------------------------------------------------------------------------------------
 
 
+def limits(rows: DataFrame) -> DataFrame:
+    """(source, unit, len, is_limit, censored) of rows (source, chars, bytes, suspect): limits hold for characters or bytes."""
+    sized = rows.select("source", "suspect", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "len"))
+    histogram = sized.groupBy("source", "unit", "len").agg(
+        F.sum(F.col("suspect").cast("bigint")).alias("opened"), F.sum((~F.col("suspect")).cast("bigint")).alias("closed")
+    )
+    return histogram.groupBy("source").applyInPandas(_limits, "source string, unit string, len int, is_limit boolean, censored double")
+
+
 def judge(records: DataFrame, id: str, source: str, text: str, *, base: float = 0.12) -> DataFrame:
-    """(id, source, len, kind, censored, score, is_cut): one row per id with a non-empty text.
+    """(id, source, chars, kind, censored, score, is_cut): one row per id with a non-empty text.
 
     kind is how the text ends: marked, broken, closed or open. censored is the length's posterior (0 off the limits);
     score is the log-odds of being cut, is_cut says whether it is positive. base: the share of cut values among
@@ -215,57 +234,58 @@ def judge(records: DataFrame, id: str, source: str, text: str, *, base: float =
     """
     typed = records.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     read = stage(typed.filter("id is not null and text is not null and text <> ''").mapInPandas(_reader, _READ), "endings")
-    rows = read.filter("what = 'row'").select("id", "source", "len", "kind", "last", "two", "one", "signature", "loose").distinct()
+    rows = read.filter("what = 'row'").drop("what", "key", "a", "b").distinct()
     counts = stage(read.filter("what <> 'row'").groupBy("what", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "ending-counts")
-    word = counts.filter("what = 'word'").select("key", F.col("a").alias("inner"), F.col("b").alias("final"))
+    word = counts.filter("what = 'word'").select(F.col("key").alias("last"), F.col("a").alias("inner"), F.col("b").alias("final"))
     label = counts.filter("what = 'label'").select("key", F.col("a").alias("opened"), F.col("b").alias("closed"))
-
-    histogram = rows.groupBy("source", "len").agg(
-        F.sum(F.when(F.col("kind") != "closed", 1).otherwise(0)).alias("opened"), F.sum(F.when(F.col("kind") == "closed", 1).otherwise(0)).alias("closed")
-    )
-    limits = histogram.groupBy("source").applyInPandas(_limits, "source string, len int, is_limit boolean, censored double")
-
     longer = (
-        word.filter("inner + final > 0 and key rlike '^[^0-9(\\\\[]'").select("key", F.explode(F.expr("sequence(1, greatest(1, length(key) - 1))")).alias("n"))
-        .select(F.expr("substring(key, 1, n)").alias("last")).distinct().withColumn("begins_word", F.lit(True))
+        word.filter("last rlike '^[^0-9(\\\\[]'").select("last", F.explode(F.expr("sequence(1, greatest(1, length(last) - 1))")).alias("n"))
+        .select(F.expr("substring(last, 1, n)").alias("last")).distinct().withColumn("begins_word", F.lit(True))
     )
-    open_ = rows.filter("kind = 'open'")
     two = label.select(F.col("key").alias("two"), F.col("opened").alias("o2"), F.col("closed").alias("c2"))
     one = label.select(F.col("key").alias("one"), F.col("opened").alias("o1"), F.col("closed").alias("c1"))
     signed = label.select(F.col("key").alias("sig_key"), F.col("opened").alias("os"))
     ends = label.select(F.col("key").alias("end_key"), F.col("opened").alias("at_end"))
+    alone = label.select(F.col("key").alias("alone_key"), F.col("opened").alias("at_end_alone"))
+    all_ = label.select(F.col("key").alias("all_key"), F.col("opened").alias("o0"), F.col("closed").alias("c0"))
     seen = (
-        open_.withColumn("sig_key", F.concat_ws("|", "two", "signature")).withColumn("end_key", F.concat(F.lit("w|"), "last"))
-        .join(limits.select("source", "len", "censored"), ["source", "len"], "left")
-        .join(word.withColumnRenamed("key", "last"), "last", "left")
-        .join(longer, "last", "left").join(two, "two", "left").join(one, "one", "left").join(signed, "sig_key", "left").join(ends, "end_key", "left")
-        .fillna(0, ["censored", "inner", "final", "o1", "c1", "o2", "c2", "os", "at_end"]).fillna(False, ["begins_word"])
+        rows.filter("kind = 'open'").withColumn("sig_key", F.concat_ws("|", "two", "signature")).withColumn("end_key", F.concat(F.lit("w|"), "last"))
+        .withColumn("alone_key", F.concat(F.lit("a|"), "last")).withColumn("all_key", F.concat(F.substring("one", 1, 2), F.lit("*")))
+        .join(word, "last", "left").join(longer, "last", "left").join(two, "two", "left").join(one, "one", "left")
+        .join(signed, "sig_key", "left").join(ends, "end_key", "left")
+        .join(alone, "alone_key", "left").join(all_, "all_key", "left")
+        .fillna(0, ["inner", "final", "o0", "c0", "o1", "c1", "o2", "c2", "os", "at_end", "at_end_alone"]).fillna(False, ["begins_word"])
     )
     known = F.col("inner") + F.col("final")
-    odds = F.log(F.greatest(F.col("censored"), F.lit(base)) / (1 - F.greatest(F.col("censored"), F.lit(base))))
-    # A label seen often enough speaks for itself, else the first word does.
-    o = F.when(F.col("o2") + F.col("c2") >= 8, F.col("o2")).otherwise(F.col("o1"))
-    c = F.when(F.col("o2") + F.col("c2") >= 8, F.col("c2")).otherwise(F.col("c1"))
-    usually_open = (o + 0.1) / (o + c + 0.2)
-    by_label = F.least(F.lit(5.0), F.greatest(F.lit(0.0), -F.log(usually_open)))
-    natural_end = (F.col("at_end") >= 3) & (F.col("at_end") >= 9 * F.col("inner")) | F.col("last").contains("urladdress")
-    mid_word = F.col("begins_word") & (known <= 0)
+    # A label seen often enough speaks for itself, else the first word does, else all units of whole or longer texts.
+    often, once = F.col("o2") + F.col("c2") >= 8, F.col("o1") + F.col("c1") >= 8
+    o, c = (F.when(often, F.col(f"{x}2")).when(once, F.col(f"{x}1")).otherwise(2 * F.col(f"{x}0") / (F.col("o0") + F.col("c0") + 1) + F.col(f"{x}1")) for x in "oc")
+    usually_open = (o + 0.2) / (o + c + 0.8)
+    # A word that only ends open texts is whole if headlines, texts of one unit, often end with it.
+    mid_word = F.col("begins_word") & (known <= 0) & ~((F.col("at_end") >= 3) & (F.col("at_end_alone") >= 0.3 * F.col("at_end")))
+    natural_label = (usually_open >= 0.6) & ~mid_word
+    natural_end = (F.col("at_end") >= 3) & (F.col("at_end") >= 9 * F.col("inner")) & ~F.col("begins_word") | F.col("last").contains("urladdress")
     ending = (F.col("inner") + 1.0) / (F.col("final") + F.col("at_end") + 1.0)
     by_word = F.when(known > 0, F.least(F.lit(2.0), F.greatest(F.lit(-1.0), 0.5 * F.log(ending / 8.0)))).otherwise(0.0)
     unusual = (F.col("o2") >= 8) & (F.col("c2") * 10 <= F.col("o2")) & (F.col("os") * 20 <= F.col("o2"))
-    score = (
-        odds
-        + F.when(F.col("loose"), 6.0).otherwise(0.0)
+    evidence = (
+        F.when(F.col("loose"), 6.0).otherwise(0.0)
         + F.when(mid_word, 6.0).otherwise(0.0)
-        + F.when(natural_end, -5.0).otherwise(by_label + by_word)
-        + F.when(unusual, 2.5).otherwise(0.0)
-    )
-    judged = seen.select("id", "source", "len", "kind", "censored", score.alias("score"))
-    sure = rows.filter("kind <> 'open'").select(
-        "id", "source", "len", "kind", F.lit(0.0).alias("censored"), F.when(F.col("kind") == "closed", -9.0).otherwise(9.0).alias("score")
+        + F.when(natural_end, -7.0).when(natural_label, -6.0).otherwise(F.least(F.lit(5.0), -F.log(usually_open)) + by_word)
+        + F.when(unusual, 6.0).otherwise(0.0)
     )
-    both = judged.unionByName(sure).withColumn("is_cut", F.col("score") > 0)
-    return both.groupBy("id").agg(F.max_by(F.struct("source", "len", "kind", "censored", "score", "is_cut"), F.struct("score", "len")).alias("v")).select("id", "v.*")
+    sure = F.when(F.col("kind") == "closed", -9.0).otherwise(9.0)
+    columns = ["id", "source", "chars", "bytes", "kind"]
+    weighed = seen.select(*columns, evidence.alias("evidence")).unionByName(rows.filter("kind <> 'open'").select(*columns, sure.alias("evidence")))
+    weighed = stage(weighed.withColumn("suspect", (F.col("evidence") > 0) & (F.col("kind") != "broken")), "ending-evidence")
+    at = limits(weighed).filter("is_limit")
+    of = lambda unit: at.filter(F.col("unit") == unit).select("source", F.col("len").alias(unit), F.col("censored").alias(f"by_{unit}"))
+    censored = F.greatest(F.coalesce("by_chars", F.lit(0.0)), F.coalesce("by_bytes", F.lit(0.0)))
+    judged = weighed.join(of("chars"), ["source", "chars"], "left").join(of("bytes"), ["source", "bytes"], "left").withColumn("censored", censored)
+    likely = F.greatest(F.col("censored"), F.lit(base))
+    score = F.when(F.col("kind") == "open", F.log(likely / (1 - likely)) + F.col("evidence")).otherwise(F.col("evidence"))
+    both = judged.withColumn("score", score).withColumn("is_cut", F.col("score") > 0)
+    return both.groupBy("id").agg(F.max_by(F.struct("source", "chars", "kind", "censored", "score", "is_cut"), F.struct("score", "chars")).alias("v")).select("id", "v.*")
 
 
 def shares(judged: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leakage, nearduplicates, truncation
+from feedloom.llm import leakage, nearduplicates, survivor, truncation
 from feedloom.runtime import table
 
 
@@ -23,6 +25,62 @@ def p1_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.shares(_judged_summaries(spark, sf_dir)).withColumnRenamed("source", "source_id")
 
 
+def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fitness with `cut` (is its summary cut off), `trust` of its source, and `dated`, its date as read."""
+    trust = table(spark, sf_dir, "sources").groupBy("source_id").agg(F.max("trust").alias("trust"))
+    cut = _judged_summaries(spark, sf_dir).select("id", F.col("is_cut").alias("cut"))
+    return (
+        table(spark, sf_dir, "fitness").join(cut, "id", "left").join(trust, "source_id", "left")
+        .withColumn("dated", survivor.read_date(F.col("published")))
+    )
+
+
+def _latest_first(column: str):
+    return -F.coalesce(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})"), F.lit(-(2**62)))
+
+
+def _bundles() -> list[survivor.Bundle]:
+    begins = F.col("dated.begins").cast("timestamp_ntz")
+    return [
+        survivor.Bundle("summary", ("summary",), (F.col("summary") != "") & ~F.coalesce("cut", F.lit(False)), (-F.length("summary"),)),
+        survivor.Bundle("citations", ("citations", "metrics", "refreshed_at"), F.col("citations").between(0, 999_999), (_latest_first("refreshed_at"),)),
+        survivor.Bundle(
+            "published", ("published", "published_year", "dated"), F.coalesce(begins <= F.col("refreshed_at"), F.lit(False)),
+            (F.col("dated.precision"), -F.coalesce("trust", F.lit(-1)), _latest_first("refreshed_at")),
+        ),
+    ]
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each work with several records, the records whose summary, citations and date are kept."""
+    ids_only = [replace(b, fields=()) for b in _bundles()]
+    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", ids_only, latest="ingested_at")
+    return kept.select("canonical_url", "summary_id", "citations_id", "published_id")
+
+
+def _rights_allow_text(access: dict | None, rights: dict | None) -> bool:
+    return not (access and access["full_text_available"]) or bool(rights and rights["rights_status"] in ("open", "licensed"))
+
+
+def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each work with several: a full text is only claimed beside rights that allow it."""
+    by_trust = (-F.coalesce("trust", F.lit(-1)), _latest_first("refreshed_at"))
+    bundles = [
+        *_bundles(),
+        survivor.Bundle("outlet", ("venue", "publisher", "host_domain"), F.col("venue") != "", by_trust),
+        survivor.Bundle("people", ("author", "authors"), F.col("authors") != "", by_trust),
+        survivor.Bundle("access", ("open_access_pdf", "full_text_available"), F.col("full_text_available").isNotNull(), (F.col("open_access_pdf").isNull(), *by_trust)),
+        survivor.Bundle("rights", ("rights_status", "license_id", "attribution"), F.col("rights_status").isNotNull(), (F.col("license_id").isNull(), *by_trust)),
+    ]
+    constraints = [survivor.Constraint("access", "rights", _rights_allow_text)]
+    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", bundles, constraints, latest="ingested_at")
+    return kept.select(
+        "canonical_url", "n_ids", "summary_id", "citations_id", "published_id", "outlet_id", "people_id", "access_id", "rights_id",
+        "summary.summary", "citations.citations", "published.published", "published.published_year", "outlet.venue", "outlet.publisher",
+        "people.authors", "access.open_access_pdf", "access.full_text_available", "rights.rights_status", "rights.license_id",
+    )
+
+
 def _title_and_summary():
     return F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("summary", F.lit("")))
 
@@ -46,7 +104,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
 
 SQL = {
     "p5_found": """

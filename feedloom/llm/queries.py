@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leakage, nearduplicates, survivor, truncation
+from feedloom.llm import leakage, names, nearduplicates, survivor, truncation
 from feedloom.runtime import table
 
 
@@ -25,6 +25,21 @@ def p1_source_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.shares(_judged_summaries(spark, sf_dir)).withColumnRenamed("source", "source_id")
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.link_persons(table(spark, sf_dir, "author_names")).union(names.link_organisations(table(spark, sf_dir, "org_names")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings that mean the same person, venue or publisher."""
+    return names.pairs(_entities(spark, sf_dir))
+
+
+def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with the person, venue or publisher it means, and the number of its other spellings."""
+    e = _entities(spark, sf_dir)
+    return e.join(e.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("links")), "entity").select("name_id", "entity", "links")
+
+
 def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fitness with `cut` (is its summary cut off), `trust` of its source, and `dated`, its date as read."""
     trust = table(spark, sf_dir, "sources").groupBy("source_id").agg(F.max("trust").alias("trust"))
@@ -104,7 +119,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
 
 SQL = {
     "p5_found": """

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leakage, names, nearduplicates, survivor, truncation
+from feedloom.llm import leakage, names, nearduplicates, spam, survivor, truncation
 from feedloom.runtime import table
 
 
@@ -119,7 +119,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are keyword stuffing, link lists or product tags rather than sentences."""
+    return spam.spam_pages(table(spark, sf_dir, "documents")).filter("is_spam").select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL = {
     "p5_found": """

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import leakage, names, nearduplicates, spam, survivor, truncation
+from feedloom.llm import leakage, names, nearduplicates, packing, spam, survivor, truncation
 from feedloom.runtime import table
 
 
@@ -114,6 +114,12 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearduplicates.similar_groups(*_similar_records(spark, sf_dir))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, or the pieces of a long one, with its container of 2,048 tokens and what is unused there."""
+    counts = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(counts, "doc_id", "tokens")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with a run of 12 or more words of an evaluation item."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -124,7 +130,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).filter("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
 
 SQL = {
     "p5_found": """

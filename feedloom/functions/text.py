@@ -286,7 +286,7 @@ def lead_sentence(c: Column, least: int = 40) -> Column:
 def takeaways(c: Column, n: int = 4) -> Column:
     """Up to n pieces that end in punctuation, else the whole text."""
     t = text_of(c)
-    parts = F.slice(F.transform(F.regexp_extract_all(t, F.lit(r"([^.!?]+[.!?])"), 1), F.trim), 1, n)
+    parts = F.slice(F.transform(F.regexp_extract_all(t, F.lit(r"([^.!?]+[.!?])"), 1), lambda x: F.trim(x)), 1, n)
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(t))
 
 
@@ -300,7 +300,7 @@ def junk_title(c: Column) -> Column:
 
 
 def compact_count(c: Column) -> Column:
-    one = lambda x, u: F.concat(F.regexp_replace(F.format_number(F.floor(x * 10 + 0.5) / 10, "0.0"), r"\.0$", ""), F.lit(u))
+    one = lambda x, u: F.concat(F.regexp_replace(F.format_string("%.1f", F.floor(x * 10 + 0.5) / 10), r"\.0$", ""), F.lit(u))
     return F.when(c >= 1_000_000, one(c / 1_000_000, "M")).when(c >= 1000, one(c / 1000, "K")).otherwise(c.cast("string"))
 
 

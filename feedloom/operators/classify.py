@@ -35,9 +35,13 @@ LATE_RULES = (
 
 
 def _first(rules: Sequence[tuple[str, Sequence[str]]], tokens: Column, otherwise: Column) -> Column:
+    # A function of one argument: Spark would pass an index for a second one, default or not.
+    def holds(needles: Sequence[str]) -> Column:
+        return F.exists(tokens, lambda t: text.has_any(t, needles))
+
     out = otherwise
     for name, needles in reversed(list(rules)):
-        out = F.when(F.exists(tokens, lambda t, needles=needles: text.has_any(t, needles)), name).otherwise(out)
+        out = F.when(holds(needles), name).otherwise(out)
     return out
 
 

@@ -20,7 +20,8 @@ def within_budget(blocks: DataFrame, doc: str, order: str, text: str, budget: in
     marked = blocks.withColumn("n", F.row_number().over(w))
     marked = marked.withColumn("__total", total + (intro if intro is not None else F.lit(0)))
     largest = F.max(F.when(F.col("__total") <= budget, F.col("n"))).over(Window.partitionBy(doc))
-    return marked.filter(F.col("n") <= F.greatest(F.lit(1), F.coalesce(largest, F.lit(1)))).drop("__total")
+    marked = marked.withColumn("__most", F.greatest(F.lit(1), F.coalesce(largest, F.lit(1))))
+    return marked.filter(F.col("n") <= F.col("__most")).drop("__total", "__most")
 
 
 def cut_off(blocks: DataFrame, doc: str, order: str, text: str, chars: int = 120_000, count: int = 160) -> DataFrame:
@@ -46,5 +47,5 @@ def time_at(times: Column, offset: Column) -> Column:
 
 def paragraphs(doc: str, text: str) -> list[Column]:
     """For a select: position and text of the non-empty lines of a document."""
-    lines = F.filter(F.transform(F.split(text, r"\n+"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, r"\n+"), lambda x: F.trim(x)), lambda x: x != "")
     return [F.col(doc), F.posexplode(lines).alias("block_no", "block")]

@@ -55,7 +55,7 @@ def capped_with_exempt(df: DataFrame, exempt: str, n: int, *order: Column) -> Da
 
 def budgeted(df: DataFrame, budget: float, price: float, *order: Column) -> tuple[DataFrame, DataFrame]:
     """(what the budget pays for, in order; the rest)."""
-    n = int(budget // price) if price > 0 else 0
+    n = int(budget / price + 1e-9) if price > 0 else 0
     paid = df.orderBy(*order).limit(n)
     return paid, df.exceptAll(paid)
 

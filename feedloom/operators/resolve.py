@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.operators.components import components
@@ -59,11 +59,9 @@ def merged(df: DataFrame, entity: str, order: str) -> DataFrame:
     first = lambda c: F.min_by(c, F.when(F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull(), o)).alias(c)
     verified = F.when(F.col("rights_status") == "verified_open_access", o)
     providers = F.transform(F.array_sort(F.collect_set(F.struct("__first", "provider"))), lambda x: x["provider"])
-    from pyspark.sql import Window
-
     seen = df.withColumn("__first", F.min(o).over(Window.partitionBy(entity, "provider")))
     return seen.groupBy(entity).agg(
         F.min_by("id", o).alias("id"), F.min_by("title", o).alias("title"), F.min_by("link", o).alias("link"), F.max(F.greatest(F.coalesce("citations", F.lit(0)), F.lit(0))).alias("citations"),
-        first("published"), first("published_year"), F.max_by("summary", F.struct(F.length(F.coalesce("summary", F.lit(""))), -o)).alias("summary"), first("venue"), first("publisher"),
+        first("published"), first("published_year"), F.min_by("summary", F.struct(-F.length(F.coalesce("summary", F.lit(""))), o)).alias("summary"), first("venue"), first("publisher"),
         first("open_access_pdf"), F.coalesce(F.min_by("rights_status", verified), F.min_by("rights_status", o)).alias("rights_status"), providers.alias("providers"),
     )

@@ -43,6 +43,10 @@ def ratio(events: DataFrame, numerator: Column, denominator: Column, by: Sequenc
     return counted.withColumn("ratio", F.col("hits") / F.nullif(F.col("base"), F.lit(0)))
 
 
+def _first_from(instants: Column, start: Column) -> Column:
+    return F.get(F.filter(instants, lambda t: t >= start), 0)
+
+
 def funnel(events: DataFrame, key: Sequence[str], ts: str, steps: Sequence[Column]) -> DataFrame:
     """(step, reached): keys that did the steps in order, each at or after the step before. One pass, a struct per key."""
     reached = events
@@ -53,8 +57,7 @@ def funnel(events: DataFrame, key: Sequence[str], ts: str, steps: Sequence[Colum
     at = F.get("t0", 0)
     out = [F.count_if(at.isNotNull()).alias("s0")]
     for i in range(1, len(steps)):
-        before = at
-        at = F.get(F.filter(F.col(f"t{i}"), lambda t, before=before: t >= before), 0)
+        at = _first_from(F.col(f"t{i}"), at)
         out.append(F.count_if(at.isNotNull()).alias(f"s{i}"))
     wide = per.agg(*out)
     return wide.select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.col(f"s{i}").alias("reached")) for i in range(len(steps))])).alias("x")).select("x.*")

@@ -30,15 +30,19 @@ def strongest(df: DataFrame, key: Sequence[str], order: Column, *, largest: Sequ
     some = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull()
     aggs = [F.max(c).alias(c) for c in largest]
     aggs += [F.min_by(c, F.when(some(c), order)).alias(c) for c in first] + [F.max_by(c, F.when(some(c), order)).alias(c) for c in last]
-    aggs += [F.max_by(c, F.struct(F.length(F.coalesce(c, F.lit(""))), -order)).alias(c) for c in longest]
+    aggs += [F.min_by(c, F.struct(-F.length(F.coalesce(c, F.lit(""))), order)).alias(c) for c in longest]
     # Distinct first: what is collected is bounded by the different values, not by the rows.
     for c in collected:
         firsts = Window.partitionBy(*key, c)
         df = df.withColumn(f"__f_{c}", F.min(order).over(firsts))
-        aggs.append(F.transform(F.array_sort(F.collect_set(F.when(some(c), F.struct(f"__f_{c}", c)))), lambda x, c=c: x[c]).alias(c))
+        aggs.append(_field(F.array_sort(F.collect_set(F.when(some(c), F.struct(f"__f_{c}", c)))), c).alias(c))
     return df.groupBy(*key).agg(*aggs)
 
 
+def _field(structs: Column, name: str) -> Column:
+    return F.transform(structs, lambda x: x[name])
+
+
 def best_version(df: DataFrame, key: Sequence[str], better: Column, order: Column) -> DataFrame:
     """The row of the highest `better` per key, the first on ties."""
     w = Window.partitionBy(*key).orderBy(better.desc_nulls_last(), order)

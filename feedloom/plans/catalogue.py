@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from feedloom.plans import problems
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {**problems.QUERIES}
-SQL = {**problems.SQL}
+from feedloom.plans import eventplans, feedplans, problems, texts
 
+_PARTS = (texts.query, feedplans.query, eventplans.query)
+QUERIES = dict(problems.QUERIES)
+SQL = dict(problems.SQL)
+for _p in _PARTS:
+    QUERIES |= _p.queries
+    SQL |= _p.sql
 
-def flagship(spark, sf_dir):
-    return QUERIES["p2_found"](spark, sf_dir)
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers ranked by world score within their topic."""
+    return QUERIES["world_rank"](spark, sf_dir)

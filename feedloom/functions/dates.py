@@ -19,14 +19,36 @@ def strict_date(text: Column) -> Column:
     return F.when(t.rlike(STRICT), F.regexp_replace(F.regexp_replace(t, "T", " "), "Z$", "").try_cast("timestamp_ntz"))
 
 
-#: Notations of feeds, after the strict one.
-FEED_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "EEE MMM dd HH:mm:ss Z yyyy")
+#: Hours of the zones that feeds name.
+ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+#: Patterns of feed dates, rewritten to day|month|year|time|zone.
+_FEED = (
+    (r"^(?:[A-Za-z]{3,9},?\s+)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{2}:\d{2}(?::\d{2})?)\s*([A-Z]{1,3}|[+-]\d{2}:?\d{2})?$", "$1|$2|$3|$4|$5"),
+    (r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})\s+([+-]\d{4})\s+(\d{4})$", "$2|$1|$5|$3|$4"),
+    (r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?)\s*(Z|[+-]\d{2}:?\d{2})$", "$3|$2|$1|$4|$5"),
+)
 
 
 def feed_date(text: Column) -> Column:
-    """The instant of an RFC-822, ISO or platform notation, in UTC; null if it is none."""
-    tried = [F.try_to_timestamp(F.trim(text), F.lit(f)) for f in FEED_FORMATS[:2]]
-    return F.coalesce(strict_date(text), *[F.convert_timezone(F.current_timezone(), F.lit("UTC"), x.cast("timestamp_ntz")) for x in tried])
+    """The instant of an RFC-822, ISO or platform notation, in UTC; null if it is none, or no real date."""
+    t = F.trim(text)
+    parts = F.lit(None).cast("string")
+    for pattern, order in reversed(_FEED):
+        parts = F.when(t.rlike(pattern), F.regexp_replace(t, pattern, order)).otherwise(parts)
+    zones = F.create_map(*[x for k, v in ZONES.items() for x in (F.lit(k), F.lit(v * 60))])
+
+    def instant(p: Column) -> Column:
+        day, month, year, time, zone = (F.get(p, i) for i in range(5))
+        named = F.array_position(F.array(*map(F.lit, _MONTHS)), F.lower(month)).cast("int")
+        m = F.when(named > 0, named.cast("string")).otherwise(month)
+        local = F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(day, 2, "0"))
+        digits = F.regexp_replace(zone, r"[^0-9]", "")
+        minutes = F.substring(digits, 1, 2).try_cast("int") * 60 + F.substring(digits, 3, 2).try_cast("int")
+        offset = F.when(zone.rlike(r"^[+-]"), F.when(zone.startswith("-"), -minutes).otherwise(minutes)).otherwise(F.coalesce(F.try_element_at(zones, zone), F.lit(0)))
+        return F.concat(local, F.lit(" "), time).try_cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), offset)
+
+    return F.coalesce(strict_date(text), F.get(F.transform(F.array(F.split(parts, r"\|")), lambda p: instant(p)), 0))
 
 
 def relative_instant(phrase: Column, now: Column) -> Column:

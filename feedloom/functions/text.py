@@ -41,7 +41,7 @@ def _from_code(code: Column) -> Column:
     """The character of a code point; U+FFFD if there is none. Spark's chr() only knows 256 of them."""
     valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
     hexed = F.lpad(F.hex(code), 8, "0")
-    return F.when(valid, F.decode(F.unhex(hexed), "UTF-32BE")).otherwise(F.lit("�"))
+    return F.when(valid, F.decode(F.unhex(hexed), "UTF-32")).otherwise(F.lit("�"))
 
 
 def _by_part(c: Column, pattern: str, one) -> Column:

@@ -53,11 +53,12 @@ def _by_part(c: Column, pattern: str, one) -> Column:
 
 def decoded_entities(c: Column, unknown: str | None = None) -> Column:
     """Decimal and hexadecimal entities, then named ones; an unknown name stays, or becomes `unknown`."""
-    t = text_of(c)
-    t = _by_part(t, r"&#[0-9]{1,7};", lambda p: _from_code(F.regexp_extract(p, "([0-9]+)", 1).try_cast("bigint")))
+    plain = text_of(c)
+    t = _by_part(plain, r"&#[0-9]{1,7};", lambda p: _from_code(F.regexp_extract(p, "([0-9]+)", 1).try_cast("bigint")))
     t = _by_part(t, r"&#[xX][0-9a-fA-F]{1,6};", lambda p: _from_code(F.conv(F.regexp_extract(p, "[xX]([0-9a-fA-F]+)", 1), 16, 10).try_cast("bigint")))
     table = F.create_map(*[x for k, v in ENTITIES.items() for x in (F.lit(k), F.lit(v))])
-    return _by_part(t, r"&[A-Za-z]{2,8};", lambda p: F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(p, "[A-Za-z]+", 0))), p if unknown is None else F.lit(unknown)))
+    t = _by_part(t, r"&[A-Za-z]{2,8};", lambda p: F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(p, "[A-Za-z]+", 0))), p if unknown is None else F.lit(unknown)))
+    return F.when(plain.contains("&"), t).otherwise(plain)  # most texts hold none
 
 
 def without_cdata(c: Column) -> Column:
@@ -212,10 +213,16 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def echoes_title(summary: Column, title: Column) -> Column:
     plain = lambda c: F.trim(F.regexp_replace(F.lower(text_of(c)), r"[^a-z0-9]+", " "))
-    t, s = content_tokens(title), content_tokens(summary)
-    shared = F.size(F.array_intersect(t, s))
-    similar = (shared / F.greatest(F.size(t), F.lit(1)) >= 0.8) & ((jaccard(t, s) >= 0.78) | (F.size(s) - shared <= 1))
-    return (plain(title) != "") & ((plain(summary) == plain(title)) | ((F.size(t) >= 3) & (F.size(s) > 0) & similar))
+
+    def similar(x: Column) -> Column:
+        t, s = x["t"], x["s"]
+        shared = F.size(F.array_intersect(t, s))
+        close = (shared / F.greatest(F.size(t), F.lit(1)) >= 0.8) & ((jaccard(t, s) >= 0.78) | (F.size(s) - shared <= 1))
+        return (F.size(t) >= 3) & (F.size(s) > 0) & close
+
+    # Bound once by the lambda, else every use would read both texts again.
+    both = F.array(F.struct(content_tokens(title).alias("t"), content_tokens(summary).alias("s")))
+    return (plain(title) != "") & ((plain(summary) == plain(title)) | F.get(F.transform(both, lambda x: similar(x)), 0))
 
 
 def is_complete(c: Column) -> Column:

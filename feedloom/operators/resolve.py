@@ -39,7 +39,9 @@ def resolve(df: DataFrame, scope: str, order: str, first_key: str, second_key: s
     edges = keyed.select("__n", F.explode(F.array_compact(F.array(keys(first_key, "a"), keys(second_key, "b")))).alias("__k")).select(F.col("__n").alias("a"), F.col("__k").alias("b"))
     of = components(edges)
     joined = keyed.join(of.withColumnRenamed("node", "__n"), "__n", "left").withColumn("__c", F.coalesce("component", "__n"))
-    need = joined.select("__c", "__n", F.col(order).alias("__order"), F.col(first_key).alias("__a"), F.col(second_key).alias("__b"))
+    # A record that no key connects to another is its own entity; only the others go to Python.
+    shared = of.groupBy("component").agg(F.count_if(F.col("node").startswith("r\u0001")).alias("__m")).filter("__m > 1")
+    need = joined.join(shared.select(F.col("component").alias("__c")), "__c", "left_semi").select("__c", "__n", F.col(order).alias("__order"), F.col(first_key).alias("__a"), F.col(second_key).alias("__b"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__order")
@@ -50,7 +52,7 @@ def resolve(df: DataFrame, scope: str, order: str, first_key: str, second_key: s
         return pd.DataFrame({"__n": pdf["__n"], "entity": [firsts[p] for p in at]})
 
     entity = need.groupBy("__c").applyInPandas(run, "__n string, entity string")
-    return keyed.join(entity, "__n").drop("__n")
+    return keyed.join(entity, "__n", "left").withColumn("entity", F.coalesce("entity", "__n")).drop("__n")
 
 
 def merged(df: DataFrame, entity: str, order: str) -> DataFrame:

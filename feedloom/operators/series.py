@@ -21,7 +21,7 @@ def series(readings: DataFrame, key: str, date: str, value: str, dates: DataFram
 def sparkline(values: Column, current: Column) -> Column:
     """Values scaled to 0 .. 1 by their least and largest, the current one included; .5 for a flat line; two points at least."""
     points = F.when(F.size(values) >= 2, values).otherwise(F.array(current, current))
-    both = F.array_append(points, current)
+    both = F.array_append(values, current)
     lo, hi = F.array_min(both), F.array_max(both)
     return F.transform(points, lambda v: F.when(hi > lo, F.floor((v - lo) / (hi - lo) * 1e4 + 0.5) / 1e4).otherwise(0.5))
 

@@ -43,24 +43,22 @@ def ratio(events: DataFrame, numerator: Column, denominator: Column, by: Sequenc
     return counted.withColumn("ratio", F.col("hits") / F.nullif(F.col("base"), F.lit(0)))
 
 
-def _first_from(instants: Column, start: Column) -> Column:
-    return F.get(F.filter(instants, lambda t: t >= start), 0)
-
-
 def funnel(events: DataFrame, key: Sequence[str], ts: str, steps: Sequence[Column]) -> DataFrame:
-    """(step, reached): keys that did the steps in order, each at or after the step before. One pass, a struct per key."""
-    reached = events
-    columns = []
-    for i, s in enumerate(steps):
-        columns.append(F.sort_array(F.collect_set(F.when(s, F.col(ts)))).alias(f"t{i}"))
-    per = reached.groupBy(*key).agg(*columns)
-    at = F.get("t0", 0)
-    out = [F.count_if(at.isNotNull()).alias("s0")]
-    for i in range(1, len(steps)):
-        at = _first_from(F.col(f"t{i}"), at)
-        out.append(F.count_if(at.isNotNull()).alias(f"s{i}"))
-    wide = per.agg(*out)
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(i + 1).alias("step"), F.col(f"s{i}").alias("reached")) for i in range(len(steps))])).alias("x")).select("x.*")
+    """(step, reached): keys that did the steps in order, each at or after the step before.
+
+    A step's instant is the least that is not before the last step's: an aggregate that combines on the map side, so a
+    key with very many events is never collected.
+    """
+    marked = events.select(*key, F.col(ts).alias("__ts"), *[s.alias(f"__s{i}") for i, s in enumerate(steps)])
+    before, out = None, None
+    for i in range(len(steps)):
+        these = marked.filter(f"__s{i}").select(*key, "__ts")
+        if before is not None:
+            these = these.join(before, list(key)).filter(F.col("__ts") >= F.col("__t"))
+        before = these.groupBy(*key).agg(F.min("__ts").alias("__t"))
+        count = before.agg(F.count(F.lit(1)).alias("reached")).select(F.lit(i + 1).alias("step"), "reached")
+        out = count if out is None else out.unionByName(count)
+    return out
 
 
 def streaks(events: DataFrame, user: str, day: Column) -> DataFrame:

@@ -320,7 +320,7 @@ def labelled(items: DataFrame, sources: DataFrame, key: str = "source_id") -> Da
     d = sources.select(F.col("id").alias(key), F.col("name").alias("source"), "region", "focus", F.col("cat").alias("__cat"), F.col("content_type").alias("__type"))
     cats = F.coalesce("categories", F.array().cast("array<string>"))
     hinted = F.when(F.col("__cat").isNotNull() & ~F.array_contains(cats, F.col("__cat")), F.array_append(cats, F.col("__cat"))).otherwise(cats)
-    out = items.drop("source", "region", "focus", "content_type").join(F.broadcast(d), key, "left").withColumn("categories", hinted)
+    out = items.drop("source", "region", "focus", "content_type").join(d, key, "left").withColumn("categories", hinted)
     return (
         out.withColumn("id", hashing.short_id(F.col("link"))).withColumn("content_type", F.coalesce("__type", urls.content_type(F.col("link"))))
         .withColumn("section", F.coalesce(F.nullif(F.col("section"), F.lit("")) if "section" in items.columns else F.lit(None), F.get("categories", 0), "focus")).drop("__cat", "__type")

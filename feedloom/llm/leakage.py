@@ -174,10 +174,10 @@ def remove_leaks(
 
     A leaked span is cut from its first to its last word; the text around it stays as it is. A document more than
     max_coverage of whose words leaked is marked dropped and keeps no text (null). Null and empty texts stay unchanged.
+    Columns of documents that have one of the three names are replaced; all others are kept.
     """
-    if any(c in documents.columns for c in ("leaked_words", "coverage", "dropped")):
-        raise ValueError("documents already has a column leaked_words, coverage or dropped")
     spark = documents.sparkSession
+    documents = documents.drop("leaked_words", "coverage", "dropped")
     shared = [spark.sparkContext.broadcast(Automaton(b, min_words)) for b in _blocks(items, item_id, text, block_words)]
 
     @F.pandas_udf("text string, leaked_words int, coverage double, dropped boolean")

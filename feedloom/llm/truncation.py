@@ -34,7 +34,7 @@ from feedloom.runtime import stage
 
 #: Endings by which senders say that the rest was dropped.
 MARKER = re.compile(
-    r"(?:…|\.{3,}|\[\s*(?:…|\.{2,})\s*\]|\(\s*(?:…|\.{2,})\s*\)|[\[(]?\b(?:read|show|see|view|continue reading|learn)\s*more\b[\])]?|[\[(]\s*more\s*[\])]"
+    r"(?:…[\"'”’»«)]*|\.{3,}[\"'”’»«)]*|\[\s*(?:…|\.{2,})\s*\]|\(\s*(?:…|\.{2,})\s*\)|[\[(]?\b(?:read|show|see|view|continue reading|learn)\s*more\b[\])]?|[\[(]\s*more\s*[\])]"
     r"|\bcontinue reading|\bmehr lesen|\bweiterlesen|\blire la suite|\ben savoir plus|\bleer más|\bseguir leyendo|\[truncated\]|\(continued\)|\(cont\.?\))\s*[»›>→]*\s*$",
     re.I,
 )

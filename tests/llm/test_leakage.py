@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from feedloom.llm import leakage
 from feedloom.llm.words import words
 
@@ -46,7 +48,7 @@ def test_found(spark):
 
 
 def test_removed(spark):
-    d = spark.createDataFrame([(1, "Before. One two, three FOUR five! After it all.", "a"), (2, "one two three four five", "b"), (3, None, "c"), (4, "", "d")], "doc_id bigint, text string, item_id string")
+    d = spark.createDataFrame([(1, "Before. One two, three FOUR five! After it all.", "a"), (2, "one two three four five", "b"), (3, None, "c"), (4, "", "d")], "doc_id bigint, text string, item_id string").withColumn("coverage", F.lit("own"))
     i = spark.createDataFrame([(7, "one two three four five six")], "item_id bigint, text string")
     rows = {r["doc_id"]: r for r in leakage.remove_leaks(d, i, min_words=4, max_coverage=0.6).collect()}
     assert rows[1]["text"] == "Before. ! After it all." and rows[1]["leaked_words"] == 5 and not rows[1]["dropped"]

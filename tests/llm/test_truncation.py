@@ -53,7 +53,7 @@ def test_empty_table(spark):
 def test_endings():
     kind = lambda t: truncation._read(t)[0]
     assert [kind(t) for t in ("It is done.", "“It is done.”", "Is it?", "It was (n = 3).")] == ["closed"] * 4
-    assert [kind(t) for t in ("It was…", "It was ...", "It was [...]", "It was… (more)", "It w Read more »", "It was [ … ]")] == ["marked"] * 6
+    assert [kind(t) for t in ("It was…", "It was ...", "It was [...]", "It was… (more)", "It w Read more »", "It was [ … ]", "“It was…”", "It was ...)")] == ["marked"] * 8
     assert [kind(t) for t in ("It w�", "It w&am", "It w<su", "It w\\u20", "It w<a href='x")] == ["broken"] * 5
     assert [kind(t) for t in ("It was", "Results (4.", "AT&T", "p < 5 %")] == ["open"] * 4
     assert kind("One … two ... three.") == "closed"

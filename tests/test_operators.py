@@ -202,3 +202,18 @@ def test_extra_columns_may_clash(spark):
     assert dedup.greedy_two_keys(df, F.col("o"), F.col("k"), F.col("f")).columns == ["o", "k", "f", "n", "count"]
 
 
+
+
+def test_time_of_an_offset_is_clamped(spark):
+    from feedloom.operators.documents import time_at
+
+    times = F.array(*map(F.lit, [0.0, 1.23456, 2.5]))
+    got = spark.createDataFrame([(x,) for x in (-3.0, 0.6, 1.0, 99.0)], "o double").select(time_at(times, F.col("o")).alias("t")).collect()
+    assert [r["t"] for r in got] == [0.0, 1.235, 1.235, 2.5]
+
+
+def test_funnel_needs_the_order(spark):
+    rows = [("a", 1, "s"), ("a", 2, "v"), ("a", 3, "p"), ("b", 1, "v"), ("b", 2, "s"), ("c", 5, "s"), ("c", 5, "v"), (None, 1, "s")]
+    df = spark.createDataFrame(rows, "u string, ts int, e string")
+    got = {r["step"]: r["reached"] for r in sessions.funnel(df.filter("u is not null"), ["u"], "ts", [F.col("e") == x for x in "svp"]).collect()}
+    assert got == {1: 3, 2: 2, 3: 1}

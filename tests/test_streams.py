@@ -44,3 +44,13 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert sorted((r["c"], r["ts"], r["allowed"]) for r in spark.table("limited_out").collect()) == want
+
+
+def test_package_reaches_the_workers(spark):
+    """Once per application, whatever the working directory."""
+    from feedloom import runtime
+
+    runtime.ship(spark)
+    before = len(spark.sparkContext._python_includes)
+    runtime.ship(spark)
+    assert before == len(spark.sparkContext._python_includes) >= 1

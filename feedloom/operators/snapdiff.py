@@ -207,25 +207,24 @@ def snapshot_changes(
         [(s, s, 1) for s in snaps[1:]] + [(later, s, -1) for s, later in zip(snaps, snaps[1:])], "pair bigint, snap bigint, sign int"
     ))
     left = now.withColumn("bucket", F.pmod(F.xxhash64(F.lit(1), "k1"), F.lit(buckets)))
-    todo, done, seed = left, [], 11
+    todo, done, seed, failed = left, [], 11, None
     for i in range(rounds):
         size = cells * 4**i
         tables = _subtracted(_cells(todo, size, seed + i), pairs)
+        if failed is not None:  # a snapshot is in two pairs; of the one that did not fail only a side is built again
+            tables = tables.join(failed, ["pair", "bucket"], "left_semi")
         peeled = stage(tables.groupBy("pair", "bucket").applyInPandas(_peeler(size, seed + i), _PEELED), "snapshot-peeled")
         failed = peeled.filter("kind = 'failed'").select("pair", "bucket")
         done.append(peeled.filter("kind <> 'failed'"))
         if failed.isEmpty():
             break
-        # Both snapshots of a failed pair are built again; other pairs' buckets of the same snapshots are not.
-        again = failed.join(pairs, "pair").select("pair", "bucket", "snap", "sign")
-        todo = left.join(again.select("snap", "bucket").distinct(), ["snap", "bucket"], "left_semi")
+        again = failed.join(pairs, "pair").select("snap", "bucket").distinct()
+        todo = left.join(again, ["snap", "bucket"], "left_semi")
         if i + 1 == rounds:
             done.append(_exact(left, pairs, failed).select(*done[0].columns))
     changes = done[0]
     for d in done[1:]:
         changes = changes.unionByName(d)
-    if len(done) > 1:  # a bucket built again for one pair is peeled for its other pair a second time
-        changes = changes.dropDuplicates(["pair", "k1", "k2"])
     previous = spark.createDataFrame(list(zip(snaps[1:], snaps)), "pair bigint, previous bigint")
     sides = changes.join(F.broadcast(previous), "pair").select(
         "pair", "k1", "k2", "kind", F.when(F.col("kind") == "removed", F.col("previous")).otherwise(F.col("pair")).alias("snap"),

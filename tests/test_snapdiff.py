@@ -77,6 +77,16 @@ def test_first_table_suffices(spark):
     assert snapdiff.snapshot_changes(df, ["citations"], rounds=1, cells=1024).count() == 200
 
 
+@pytest.mark.parametrize("rounds", [2, 1])
+def test_one_pair_alone_fails(spark, rounds):
+    """Pair 3 overflows its first table; pairs 2 and 4, which share its snapshots, are not built again from one side."""
+    at = dt.datetime(2026, 1, 1)
+    value = lambda s, i: (s >= 3) + 10 * (s == 2 and i == 0) + 10 * (s == 4 and i == 1)
+    rows = [(s, f"id{i}", "a", value(s, i), at, "") for s in (1, 2, 3, 4) for i in range(200)]
+    got = sorted(tuple(r) for r in snapdiff.snapshot_changes(spark.createDataFrame(rows, SCHEMA), ["citations"], cells=240, rounds=rounds).collect())
+    assert got == sorted([(2, "id0", "changed"), (4, "id1", "changed"), *((3, f"id{i}", "changed") for i in range(200))])
+
+
 def test_instants(spark):
     texts = ["2026-06-01T04:49:53.078Z", "2026-05-31T23:49:53.078-05:00", "2026-06-01 04:49:53.078Z", "2026-06-01T04:49:53.078", "junk", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(snapdiff.instant_micros(F.col("t"))).collect()]

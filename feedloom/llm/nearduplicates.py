@@ -109,7 +109,7 @@ def _jaccard(width: int):
 
 def similar_texts(
     records: DataFrame, id: str, text: Column, *, width: int = 5, threshold: float = 0.8, min_words: int = 5,
-    groups: int = 12, band_rows: int = 3, sigmas: float = 4.0,
+    groups: int = 18, band_rows: int = 3, sigmas: float = 4.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(members: id, class), (links: class_a, class_b, similarity) of the texts whose similarity reaches the threshold.
 
@@ -117,8 +117,8 @@ def similar_texts(
     the sets of runs of `width` words. Texts of less than min_words words (or width, if that is more), null and empty
     ones among them, are left out. A repeated row counts once. Other columns are ignored.
 
-    With 32 bands of 3 registers two texts of similarity 0.5 share a band with probability 0.986, of 0.6 with 0.9996, of
-    0.8 with 1 - 1e-10; raise `groups` for more. The band table holds two numbers per text and band.
+    With 48 bands of 3 registers two texts of similarity 0.5 share a band with probability 0.998, of 0.55 with 0.9998, of
+    0.6 with 0.99999; raise `groups` for more. The band table holds two numbers per text and band.
     """
     source = records.select(F.col(id).cast("string").alias("id"), text.alias("text")).filter("id is not null and text is not null")
     source = source.withColumn("class", F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(7), "text"))))

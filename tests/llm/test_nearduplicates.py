@@ -84,3 +84,15 @@ def test_estimate_follows_similarity():
             x = nd.sketch([np.unique(a), np.unique(b)], 12)
             estimates.append(nd.estimated((x[0] == x[1]).sum(), x.shape[1]))
         assert abs(np.mean(estimates) - share) < 0.05
+
+
+def test_few_pairs_at_the_threshold_are_lost(spark):
+    """1,500 pairs of similarity 0.5: 38 of the 57 runs of each text are common."""
+    r = random.Random(5)
+    word = lambda: f"w{r.randrange(10**9)}"
+    rows = []
+    for k in range(1500):
+        common = [word() for _ in range(40)]
+        rows += [(f"a{k}", " ".join(common + [word() for _ in range(19)])), (f"b{k}", " ".join(common + [word() for _ in range(19)]))]
+    _, links = nd.similar_texts(spark.createDataFrame(rows, "id string, t string"), "id", F.col("t"), width=3, threshold=0.5, min_words=40)
+    assert 1500 * 0.995 <= links.count() <= 1500

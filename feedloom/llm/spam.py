@@ -170,9 +170,11 @@ def spam_share(text: str, density: float = 0.06, stuffed: float = 0.45, loose: f
     if not total:
         return None
     counts = Counter(everything)
-    # The most that dense repetition can cover: a keyword's words all occur as often as it does.
-    often = sum(n for w, n in counts.items() if n >= LEAST_COUNT and w not in GRAMMATICAL)
-    if against_if_loose + often / stuffed <= 0.5 * total:
+    # The units that dense repetition can turn against the page: a keyword's words all occur as often as it does, and its
+    # characters count, so the bound is by unit and in characters.
+    often = {w for w, n in counts.items() if n >= LEAST_COUNT and w not in GRAMMATICAL}
+    at_most = sum(len(ws) for _, ws, _, clause, _, _ in units if clause and sum(len(w) for w in ws if w in often) >= stuffed * sum(map(len, ws)))
+    if against_if_loose + at_most <= 0.5 * total:
         return total, against_if_loose / total, 0.0
     number = {w: i for i, w in enumerate(counts)}
     content = [w not in GRAMMATICAL for w in everything]

@@ -52,3 +52,12 @@ def test_table(spark):
     df = spark.createDataFrame([(1, GENUINE, True), (2, "kettlebell sale\n" * 30, False), (3, None, None), (4, "", None), (5, "!!!", None), (None, "x", None), (6, "kettlebell sale\n" * 30_000, None)], "doc_id bigint, text string, is_spam boolean")
     assert {r["doc_id"]: r["is_spam"] for r in spam.spam_pages(df).collect()} == {1: False, 2: True, 6: True}
     assert spam.spam_pages(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_long_keywords_in_many_short_words():
+    """Keywords cover most characters of each sentence but few of its words; the automaton must not be skipped."""
+    fresh = (f"{a}{b}" for a in "bcdfghjklmnpqrstvwxz" for b in "bcdfghjklmnpqrstvwxz")
+    text = "\n".join(
+        f"Der Krafttrainingsplan ist für {next(fresh)} {next(fresh)} und der Krafttrainingsplan mit {next(fresh)} {next(fresh)} oder {next(fresh)} {next(fresh)}." for _ in range(20)
+    )
+    assert spam.spam_share(text)[1] > 0.5

@@ -72,12 +72,16 @@ def has_clause(unit: str, core: list[str]) -> bool:
     return kinds >= 1 and len(found) >= 0.05 * n and n >= 6 and unit.rstrip("\"”’»)] ").endswith((".", "!", "?", ";"))
 
 
+#: Share of content words in a long keyword string; sentences have less.
+KEYWORD_CONTENT = 0.8
+
+
 class PageAutomaton:
     """Suffix automaton of one page's words, with the number of occurrences of each state."""
 
     def __init__(self, codes: list[int]):
         following: list[dict[int, int]] = [{}]
-        link, length, count = [-1], [0], [0]
+        link, length, count, end = [-1], [0], [0], [-1]
         self.path = []
         last = 0
         for w in codes:
@@ -86,6 +90,7 @@ class PageAutomaton:
             length.append(length[last] + 1)
             link.append(0)
             count.append(1)
+            end.append(len(self.path))
             p = last
             while p != -1 and w not in following[p]:
                 following[p][w] = new
@@ -100,6 +105,7 @@ class PageAutomaton:
                     length.append(length[p] + 1)
                     link.append(link[q])
                     count.append(0)
+                    end.append(end[q])
                     while p != -1 and following[p].get(w) == q:
                         following[p][w] = clone
                         p = link[p]
@@ -109,12 +115,12 @@ class PageAutomaton:
         order = sorted(range(1, len(following)), key=length.__getitem__, reverse=True)
         for v in order:
             count[link[v]] += count[v]
-        self.link, self.length, self.count, self.by_length = link, length, count, order[::-1]
+        self.link, self.length, self.count, self.end, self.by_length = link, length, count, end, order[::-1]
 
     def covered(self, least_count: int, least_density: float, content: list[bool], longest: int = 8) -> list[bool]:
         """Words in a maximal substring that occurs least_count times, makes up least_density of the page and has content.
 
-        Maximal substrings of more than `longest` words are repeated sentences, not keywords.
+        Of more than `longest` words, it must be of KEYWORD_CONTENT content words at least; else it is a repeated sentence.
         """
         n = len(self.path)
         edge = [0] * (n + 1)
@@ -124,8 +130,9 @@ class PageAutomaton:
         # Each state's longest suffix that qualifies, shorter states first: linear, however periodic the page is.
         best = [0] * len(self.link)
         for v in self.by_length:
-            k = self.length[v]
-            best[v] = v if k <= longest and self.count[v] >= least_count and self.count[v] * k >= least_density * n else best[self.link[v]]
+            k, end = self.length[v], self.end[v] + 1
+            keyword = k <= longest or content_before[end] - content_before[end - k] >= KEYWORD_CONTENT * k
+            best[v] = v if keyword and self.count[v] >= least_count and self.count[v] * k >= least_density * n else best[self.link[v]]
         for i, v in enumerate(self.path):
             v = best[v]
             if v > 0:

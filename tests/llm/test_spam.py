@@ -61,3 +61,13 @@ def test_long_keywords_in_many_short_words():
         f"Der Krafttrainingsplan ist für {next(fresh)} {next(fresh)} und der Krafttrainingsplan mit {next(fresh)} {next(fresh)} oder {next(fresh)} {next(fresh)}." for _ in range(20)
     )
     assert spam.spam_share(text)[1] > 0.5
+
+
+def test_long_keyword_strings():
+    """A string of 20 keywords between fresh sentences; a sentence as long and as often repeated is none."""
+    r = random.Random(4)
+    fresh = lambda: "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6))
+    string = "yoga mat kettlebell foam roller for jump rope weight vest resistance band and treadmill ankle brace pullup bar gym gloves"
+    sentence = "We found that the runners who had slept for more than eight hours were on the whole in a better mood than before"
+    page = lambda x: "\n".join(f"{x} {fresh()} {fresh()}." for _ in range(20))
+    assert share(page(string)) > 0.5 and spam.spam_share(page(string))[2] > 0.6 and share(page(sentence)) <= 0.5

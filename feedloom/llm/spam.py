@@ -1,16 +1,21 @@
 """Keyword-stuffed pages, link lists and product-tag lists.
 
-A page is read in units: lines, and the sentences in them. A unit has clause structure if it reads as a sentence: enough
-of its words are grammatical words, of more than one kind, and it is not mostly links, tags or cells. The page's suffix
-automaton (over words) counts how often every substring occurs; a keyword is a maximal substring repeated so densely that
-its occurrences make up a good part of the page. A unit is counted against the page if keywords cover much of its
-characters, whatever its structure, or if it has no clause structure and looks strung together: covered by repeated
-substrings, made of links, tags or cells, of content words only, or one of many such units in a row. A page more than half of whose words lie in such units
-is spam.
-
-The automaton is built for every page whose verdict it can change: where the units without clause structure and the most
-that dense repetition could cover do not reach half of the words, the page cannot be spam, and the automaton is skipped.
-Pages never shuffle; a page is handled whole, in memory linear in its own length.
+A page is read in units: lines, and the sentences in them. Two things are measured and combined:
+
+* Coverage. The suffix automaton of the whole page, over its words and marks (`#`, `|`, brackets and the like; numbers are
+  all one word), counts how often every substring occurs. Its states' longest strings are the maximal repeated substrings;
+  their characters are what repetition covers.
+* Clause structure. A unit reads as a sentence if enough of its words are linking words, of more than one kind, and it is
+  not mostly links, tags or cells. Linking words are learned from the corpus, per language: words that a good part of the
+  documents hold and that hardly ever end a clause, as articles, prepositions, conjunctions and many verbs do.
+
+Neighbouring units without clause structure are one block. A block counts against the page if repetition covers `loose` of
+its characters. A unit with clause structure counts against it if dense keywords (repeated substrings of content words that
+make up `density` of the page) cover `stuffed` of its characters. A page more than half of whose words count is spam. So
+no page is spam without repetition, and the automaton is built for every page.
+
+Pages never shuffle; a page is handled whole, in memory linear in its own length. The learned words are a bounded table
+(at most `most` per language tag of two or three letters), which is broadcast.
 
 Null and empty texts, and texts without a word, have no verdict.
 """
@@ -19,16 +24,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from itertools import accumulate
+from operator import mul
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.words import WORD
 
-#: Common grammatical words of English, German, French and Spanish.
-GRAMMATICAL = frozenset(
+#: Linking words of English, German, French and Spanish, for corpora too small to learn from.
+_SEED = (
     "the of and to in for with by from at on as than that which when while whether who we our their its it is are was were be been has have had will"
     " would can could this these those no not if or but after before under over between during without within through against despite across beyond"
     " alongside around more most how what your you your they he she his her an a into about did does do any each of only whereas below need"
@@ -36,12 +43,72 @@ GRAMMATICAL = frozenset(
     " vor während durch gegen trotz wie als ist sind war wird werden hat haben laut sich es er sie wir ihre seine"
     " le la les l un une des du de d et ou mais ne pas avec sans chez sur sous dans par pour selon pendant après avant au aux ce cette ces qui que est"
     " sont était ont il elle nous leur plus en rapport malgré"
-    " el los las una unos unas del y o pero con sin según durante tras ante al este esta estos son era ha han se su sus más lo frente pese desde para por".split()
+    " el los las una unos unas del y o pero con sin según durante tras ante al este esta estos son era ha han se su sus más lo frente pese desde para por"
 )
+#: The seed words with a usual share of all words, a guess on the high side.
+SEED = dict.fromkeys(_SEED.split(), 0.03)
 LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)|https?://\S+|www\.\S+", re.I | re.S)
 TAG = re.compile(r"(?<!\w)#\w+")
 SENTENCES = re.compile(r"(?<=[.!?;])[\"”’»)\]]*\s+")
 CELLS = re.compile(r"\s[|»›>·•/]\s|;\s|\t")
+#: What the automaton reads: words, and the marks that lists, links and tags are made of.
+TOKEN = re.compile(r"[^\W_]+|[#|<>\[\]=/@*•·»›]")
+NUMBER = re.compile(r"[0-9]+")
+MARKS = frozenset("#|<>[]=/@*•·»›")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: A word, and the mark behind it if that ends a clause.
+WORD_AND_MARK = re.compile(r"[^\W_]++[^\w '’-]?")
+
+
+# --- linking words -----------------------------------------------------------------------------------------------------
+
+
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        documents: Counter = Counter()
+        counts: dict[str, tuple[Counter, Counter]] = {}
+        for lang, t in zip(pdf["lang"], pdf["text"]):
+            held, uses = counts.setdefault(lang, (Counter(), Counter()))
+            ws = WORD_AND_MARK.findall(t.lower() + "\n")
+            documents[lang] += 1
+            held.update({w if w[-1].isalnum() else w[:-1] for w in set(ws)})
+            uses.update(ws)
+        rows = [(lang, None, n, 0, 0) for lang, n in documents.items()]
+        for lang, (held, uses) in counts.items():
+            inside = {w: n for w, n in uses.items() if w[-1].isalnum()}
+            ends: Counter = Counter()
+            for w, n in uses.items():
+                if not w[-1].isalnum():
+                    ends[w[:-1]] += n
+            rows += [(lang, w, n, inside.get(w, 0) + ends[w], ends[w]) for w, n in held.items() if not w.isdigit()]
+        yield pd.DataFrame(rows, columns=["lang", "word", "held", "uses", "ends"])
+
+
+def linking_words(
+    documents: DataFrame, *, text: str = "text", lang: str = "lang", share: float = 0.15, ends: float = 0.02, prior: int = 10, most: int = 400
+) -> DataFrame:
+    """(lang, word, share, ends, rate) of the words that link others, per language tag (two or three letters, else '').
+
+    A word counts if at least `share` of the language's documents hold it and at most `ends` of its uses end a clause; the
+    number of documents is raised by `prior`, so that a language of few documents needs more agreement. The `most` most
+    widely held are kept. rate is the word's share of all words of the language. All documents are counted; null and empty
+    texts hold no word.
+    """
+    tag = F.regexp_extract(F.lower(F.coalesce(F.col(lang).cast("string"), F.lit(""))), r"^([a-z]{2,3})(?:[^a-z]|$)", 1)
+    some = documents.select(tag.alias("lang"), F.col(text).alias("text")).filter("text <> ''")
+    counts = some.mapInPandas(_word_counts, "lang string, word string, held bigint, uses bigint, ends bigint")
+    total = counts.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("held", "uses", "ends")])
+    by_lang = Window.partitionBy("lang")
+    sizes = total.groupBy("lang").agg(F.max(F.when(F.col("word").isNull(), F.col("held"))).alias("documents"), F.sum("uses").alias("all_uses"))
+    known = (
+        total.filter(F.col("word").isNotNull() & (F.col("ends") <= ends * F.col("uses"))).join(sizes, "lang")
+        .select("lang", "word", (F.col("held") / (F.col("documents") + prior)).alias("share"), (F.col("ends") / F.col("uses")).alias("ends"), (F.col("uses") / F.col("all_uses")).alias("rate"))
+    )
+    linking = known.filter(F.col("share") >= share)
+    return linking.withColumn("k", F.row_number().over(by_lang.orderBy(F.desc("share"), "word"))).filter(F.col("k") <= most).drop("k")
+
+
+# --- a page ------------------------------------------------------------------------------------------------------------
 
 
 def _units(text: str) -> list[str]:
@@ -58,173 +125,240 @@ def _units(text: str) -> list[str]:
     return [u for line in lines for u in SENTENCES.split(line) if u and not u.isspace()]
 
 
-def has_clause(unit: str, core: list[str]) -> bool:
+#: Share of linking words from which on a string reads as a sentence.
+LINKED = 0.12
+
+
+def has_clause(unit: str, core: list[str], linking: Mapping[str, float] = SEED) -> bool:
     """Does the unit read as a sentence? core: its lower-cased words without those of links and tags."""
     n = len(core)
     if n < 4:
         return False
-    found = [w for w in core if w in GRAMMATICAL]
+    found = [w for w in core if w in linking]
     kinds = len(set(found))
+    if kinds < 2 and (not kinds or n < 6):
+        return False
     if len(CELLS.findall(unit)) * 4 > n:
         return False
-    if kinds >= 2 and len(found) >= 0.12 * n:
+    if kinds >= 2 and len(found) >= LINKED * n:
         return True
-    return kinds >= 1 and len(found) >= 0.05 * n and n >= 6 and unit.rstrip("\"”’»)] ").endswith((".", "!", "?", ";"))
-
-
-#: Share of content words in a long keyword string; sentences have less.
-KEYWORD_CONTENT = 0.8
+    return len(found) >= 0.05 * n and n >= 6 and unit.rstrip("\"”’»)] ").endswith((".", "!", "?", ";"))
 
 
 class PageAutomaton:
-    """Suffix automaton of one page's words, with the number of occurrences of each state."""
+    """Suffix automaton of one page's tokens, with the number of occurrences of each state.
 
-    def __init__(self, codes: list[int]):
+    The page is cut at the tokens that occur less than `least` times: no substring that occurs so often holds one, so the
+    automaton of the pieces has every maximal substring that occurs `least` times, with its true count.
+    """
+
+    def __init__(self, codes: list[int], least: int = 1):
+        times = Counter(codes) if least > 1 else None
+        rare = {w for w, n in times.items() if n < least} if times else ()
+        room = 2 * len(codes) + 2
         following: list[dict[int, int]] = [{}]
-        link, length, count, end = [-1], [0], [0], [-1]
-        self.path = []
-        last = 0
-        for w in codes:
-            new = len(following)
+        link, length, count, end = [0] * room, [0] * room, [0] * room, [0] * room
+        link[0] = -1
+        path = [0] * len(codes)
+        last, new = 0, 1  # new: the next state's number
+        for i, w in enumerate(codes):
+            if w in rare:
+                last = 0
+                continue
+            q = following[last].get(w)
+            if q is not None:  # only where a piece begins like an earlier one
+                if length[last] + 1 != length[q]:
+                    self._split(following, link, length, end, last, w, q, new)
+                    q, new = new, new + 1
+                count[q] += 1
+                path[i] = last = q
+                continue
+            path[i] = this = new
+            new += 1
             following.append({})
-            length.append(length[last] + 1)
-            link.append(0)
-            count.append(1)
-            end.append(len(self.path))
+            length[this] = length[last] + 1
+            count[this] = 1
+            end[this] = i
             p = last
-            while p != -1 and w not in following[p]:
-                following[p][w] = new
+            while p != -1:
+                known = following[p]
+                if w in known:
+                    q = known[w]
+                    if length[p] + 1 != length[q]:
+                        self._split(following, link, length, end, p, w, q, new)
+                        q, new = new, new + 1
+                    link[this] = q
+                    break
+                known[w] = this
                 p = link[p]
-            if p != -1:
-                q = following[p][w]
-                if length[p] + 1 == length[q]:
-                    link[new] = q
-                else:
-                    clone = len(following)
-                    following.append(dict(following[q]))
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    count.append(0)
-                    end.append(end[q])
-                    while p != -1 and following[p].get(w) == q:
-                        following[p][w] = clone
-                        p = link[p]
-                    link[q] = link[new] = clone
-            last = new
-            self.path.append(new)
-        order = sorted(range(1, len(following)), key=length.__getitem__, reverse=True)
+            last = this
+        order = sorted(range(1, new), key=length.__getitem__, reverse=True)
         for v in order:
             count[link[v]] += count[v]
-        self.link, self.length, self.count, self.end, self.by_length = link, length, count, end, order[::-1]
+        order.reverse()
+        self.path, self.link, self.length, self.count, self.end, self.by_length = path, link, length, count, end, order
 
-    def covered(self, least_count: int, least_density: float, content: list[bool], longest: int = 8) -> list[bool]:
-        """Words in a maximal substring that occurs least_count times, makes up least_density of the page and has content.
+    @staticmethod
+    def _split(following, link, length, end, p: int, w: int, q: int, clone: int) -> None:
+        """The state `clone`: a copy of q for the shorter strings that reach it from p."""
+        following.append(following[q].copy())
+        length[clone] = length[p] + 1
+        link[clone] = link[q]
+        end[clone] = end[q]
+        link[q] = clone
+        while p != -1 and following[p].get(w) == q:
+            following[p][w] = clone
+            p = link[p]
 
-        Of more than `longest` words, it must be of KEYWORD_CONTENT content words at least; else it is a repeated sentence.
+    def covered(self, least_count: int, least_density: float = 0.0, linking: list[bool] | None = None) -> list[bool]:
+        """Tokens in a maximal substring that occurs least_count times and makes up least_density of the page.
+
+        With `linking`, the substring must be a keyword: not of linking words alone, and without clause structure itself (less
+        than two linking words, or less than LINKED of its tokens); else it is a repeated sentence. Of a sentence the shortest
+        of its ends that occurs as often is tried too.
         """
         n = len(self.path)
-        edge = [0] * (n + 1)
-        content_before = [0]
-        for c in content:
-            content_before.append(content_before[-1] + c)
-        # Each state's longest suffix that qualifies, shorter states first: linear, however periodic the page is.
-        best = [0] * len(self.link)
+        link, length, count, end = self.link, self.length, self.count, self.end
+        need = max(least_count, least_density * n)
+        before = [*accumulate(linking, initial=0)] if linking is not None else None
+        # The length of each state's longest suffix that qualifies, shorter states first: linear, however periodic the page is.
+        best = [0] * len(link)
         for v in self.by_length:
-            k, end = self.length[v], self.end[v] + 1
-            keyword = k <= longest or content_before[end] - content_before[end - k] >= KEYWORD_CONTENT * k
-            best[v] = v if keyword and self.count[v] >= least_count and self.count[v] * k >= least_density * n else best[self.link[v]]
-        for i, v in enumerate(self.path):
-            v = best[v]
-            if v > 0:
-                start = i + 1 - self.length[v]
-                if content_before[i + 1] > content_before[start]:
-                    edge[start] += 1
-                    edge[i + 1] -= 1
-        out, open_ = [], 0
-        for i in range(n):
-            open_ += edge[i]
-            out.append(open_ > 0)
+            c = count[v]
+            if c >= least_count:
+                k = length[v]
+                if before is None:
+                    if c * k >= need:
+                        best[v] = k
+                        continue
+                else:
+                    till = before[end[v] + 1]
+                    for k in (k, length[link[v]] + 1):
+                        if c * k < need:
+                            break
+                        held = till - before[end[v] + 1 - k]
+                        if held < k and (held < 2 or held < LINKED * k):
+                            best[v] = k
+                            break
+                    if best[v]:
+                        continue
+            best[v] = best[link[v]]
+        out = [False] * n
+        done = n  # everything from here on is settled
+        for i in range(n - 1, -1, -1):
+            k = best[self.path[i]]
+            if k:
+                start = i + 1 - k
+                if start < done:
+                    stop = done if done <= i else i + 1
+                    out[start:stop] = [True] * (stop - start)
+                    done = start
         return out
 
 
-LEAST_COUNT, LEAST_RUN = 4, 5
+#: Times that a repeated substring of a list, and a dense keyword among sentences, must occur.
+REPEATED, LEAST_COUNT = 2, 4
+
+
+#: A linking word that a page uses so often, and so many times more often than its language does, is a keyword there.
+OVERUSED, TIMES_USUAL = 0.08, 5.0
 
 
-def spam_share(text: str, density: float = 0.06, stuffed: float = 0.45, loose: float = 0.3) -> tuple[int, float, float] | None:
-    """(words, share of words in units counted against the page, share of characters that keywords cover).
+def spam_share(
+    text: str, linking: Mapping[str, float] = SEED, density: float = 0.06, stuffed: float = 0.45, loose: float = 0.3
+) -> tuple[int, float, float] | None:
+    """(words, share of words in units counted against the page, share of characters that repetition or keywords cover there).
 
-    Grammatical words inside a keyword ("corde à sauter") are no part of what it covers.
+    linking: the linking words with the share of all words that they usually are.
     """
-    units = []
+    read = []
+    tokens: list[str] = []
     total = 0
-    everything: list[str] = []
-    against_if_loose = 0
-    for u in _units(text):
-        ws = WORD.findall(u.lower())
+    for u in _units(NUMBER.sub("9", text)):
+        own = TOKEN.findall(u.lower())
+        ws = own if MARKS.isdisjoint(own) else [w for w in own if w not in MARKS]
         if not ws:
             continue
+        n = len(ws)
         linked = "://" in u or "www." in u or "](" in u or "<a " in u
         tagged = "#" in u
-        rest = LINK.sub(" ", u) if linked else u
-        rest = TAG.sub(" ", rest) if tagged else rest
-        core = WORD.findall(rest.lower()) if linked or tagged else ws
-        clause = len(core) >= 0.5 * len(ws) and has_clause(rest, core)
-        units.append((u, ws, core, clause, linked, tagged))
-        everything += ws
-        total += len(ws)
-        if not clause:
-            against_if_loose += len(ws)
+        core, rest = ws, u
+        if linked or tagged:
+            rest = LINK.sub(" ", u) if linked else u
+            rest = TAG.sub(" ", rest) if tagged else rest
+            core = WORD.findall(rest.lower())
+            if tagged:
+                own = TOKEN.findall(HUMP.sub(" ", u).lower())
+        tokens += own
+        read.append((rest, core, n, len(own)))
+        total += n
     if not total:
         return None
-    counts = Counter(everything)
-    # The units that dense repetition can turn against the page: a keyword's words all occur as often as it does, and its
-    # characters count, so the bound is by unit and in characters.
-    often = {w for w, n in counts.items() if n >= LEAST_COUNT and w not in GRAMMATICAL}
-    at_most = sum(len(ws) for _, ws, _, clause, _, _ in units if clause and sum(len(w) for w in ws if w in often) >= stuffed * sum(map(len, ws)))
-    if against_if_loose + at_most <= 0.5 * total:
-        return total, against_if_loose / total, 0.0
-    number = {w: i for i, w in enumerate(counts)}
-    content = [w not in GRAMMATICAL for w in everything]
-    covered = PageAutomaton([number[w] for w in everything]).covered(LEAST_COUNT, density, content)
-    # How many units without clause structure follow each other, here: a list of short keywords has no other sign.
-    runs, k = [0] * len(units), 0
+    times = Counter(tokens)
+    least = max(LEAST_COUNT, OVERUSED * total)
+    overused = {w for w, c in times.items() if c >= least and c > TIMES_USUAL * linking.get(w, 1.0) * total}
+    links = linking if not overused else {w: r for w, r in linking.items() if w not in overused}
+    units = [(n, k, len(core) >= 0.5 * n and has_clause(rest, core, links)) for rest, core, n, k in read]
+    number = {w: i for i, w in enumerate(times)}
+    codes = [number[w] for w in tokens]
+    all_clauses = all(x[2] for x in units)
+    automaton = PageAutomaton(codes, LEAST_COUNT if all_clauses else REPEATED)
+    is_content = [len(w) > 1 and w not in links for w in times]
+    sizes = [*map(len, times)]
+    content = [is_content[c] for c in codes]
+    is_linking = [w in links for w in times]
+    size = [sizes[c] for c in codes]
+    nothing = [False] * len(codes)
+    keyword = automaton.covered(LEAST_COUNT, density, [is_linking[c] for c in codes]) if any(x[2] for x in units) else nothing
+    repeated = nothing if all_clauses else automaton.covered(REPEATED)
+    sized = [*accumulate(size, initial=0)]
+    stuffing = [*accumulate(map(mul, size, map(mul, keyword, content)), initial=0)] if True in keyword else None
+    repetition = [*accumulate(map(mul, size, repeated), initial=0)]
+    against = at = chars = hits = 0
+    k = 0
     while k < len(units):
-        end = k
-        while end < len(units) and not units[end][3]:
-            end += 1
-        runs[k:end] = [end - k] * (end - k)
-        k = max(end, k + 1)
-    against, at, chars, covered_chars = 0, 0, 0, 0
-    for (u, ws, core, clause, linked, tagged), run in zip(units, runs):
-        n = len(ws)
-        size = sum(map(len, ws))
-        hit = sum(len(w) for w, c in zip(ws, covered[at : at + n]) if c and w not in GRAMMATICAL)
-        at += n
-        chars += size
-        covered_chars += hit
+        words, n, clause = units[k]
+        end = at + n
+        k += 1
         if clause:
-            bad = hit >= stuffed * size
+            hit = stuffing[end] - stuffing[at] if stuffing else 0
         else:
-            grammar = sum(w in GRAMMATICAL for w in core)
-            bad = hit >= loose * size or len(core) < 0.6 * n or bool(CELLS.search(u)) or (n >= 4 and grammar <= 0.1 * n) or run >= LEAST_RUN
-        if bad:
-            against += n
-    return total, against / total, covered_chars / max(1, chars)
+            while k < len(units) and not units[k][2]:
+                words += units[k][0]
+                end += units[k][1]
+                k += 1
+            hit = repetition[end] - repetition[at]
+        own = sized[end] - sized[at]
+        chars += own
+        hits += hit
+        at = end
+        if hit >= (stuffed if clause else loose) * own:
+            against += words
+    return total, against / total, hits / max(1, chars)
 
 
 def spam_pages(
-    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5, density: float = 0.06, stuffed: float = 0.45
-) -> DataFrame:
+    documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", threshold: float = 0.5, density: float = 0.06,
+    stuffed: float = 0.45, seed: Mapping[str, float] = SEED,
+) -> DataFrame:
     """(doc_id, n_words, spam_share, covered_share, is_spam) of every document with a word in its text.
 
-    covered_share is 0 where the automaton could not change the verdict. A repeated row is judged as often as it occurs.
+    Linking words are `seed` and what the corpus shows, for all pages together, since language tags are often wrong; without
+    a lang column all documents are one language. A repeated row is judged as often as it occurs.
     """
+    spark = documents.sparkSession
+    tagged = documents if lang and lang in documents.columns else documents.select(text).withColumn("lang", F.lit(""))
+    learned = linking_words(tagged, text=text, lang=lang if lang and lang in documents.columns else "lang")
+    # Bounded: `most` words for each tag of two or three letters.
+    rates = {r["word"]: r["rate"] for r in learned.groupBy("word").agg(F.max("rate").alias("rate")).collect()}
+    shared = spark.sparkContext.broadcast({**seed, **rates})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        linking = shared.value
         for pdf in batches:
             rows = []
             for doc, t in zip(pdf.iloc[:, 0].to_numpy(), pdf.iloc[:, 1]):
-                found = spam_share(t, density, stuffed) if t else None
+                found = spam_share(t, linking, density, stuffed) if t else None
                 if found:
                     rows.append((doc, *found, found[1] > threshold))
             yield pd.DataFrame(rows, columns=[doc_id, "n_words", "spam_share", "covered_share", "is_spam"])

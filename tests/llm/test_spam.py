@@ -34,7 +34,7 @@ def test_automaton_counts():
     for _ in range(20):
         ws = [r.randrange(4) for _ in range(60)]
         a = spam.PageAutomaton(ws)
-        covered = a.covered(3, 0.1, [True] * 60)
+        covered = a.covered(3, 0.1, [False] * 60)
         want = [False] * 60
         for n in range(1, 60):
             at = {}
@@ -71,3 +71,51 @@ def test_long_keyword_strings():
     sentence = "We found that the runners who had slept for more than eight hours were on the whole in a better mood than before"
     page = lambda x: "\n".join(f"{x} {fresh()} {fresh()}." for _ in range(20))
     assert share(page(string)) > 0.5 and spam.spam_share(page(string))[2] > 0.6 and share(page(sentence)) <= 0.5
+
+
+def pages_of(language, n=60, seed=5):
+    """Sentences of another language, and keyword pages in it."""
+    r = random.Random(seed)
+    subjects, verbs, objects, places = language
+    sentence = lambda: f"{r.choice(subjects)} {r.choice(verbs)} {r.choice(objects)}{r.choice(('', ' ' + r.choice(places)))}.".capitalize()
+    genuine = [(i, " ".join(sentence() for _ in range(r.randrange(4, 9)))) for i in range(n)]
+    bare = [o.split()[-1] for o in objects]
+    stuffed = [(n + i, " ".join(f"{r.choice(bare)} {r.choice(('xoom', 'zilt', 'prak'))}" for _ in range(60))) for i in range(4)]
+    return genuine, stuffed
+
+
+OTHERS = {
+    "it": (["il medico", "la squadra", "un corridore", "lo studio"], ["ha visto", "non ha cambiato", "misura", "segue"], ["la caviglia", "il muscolo", "una scarpa", "il sonno"], ["con un sensore nella palestra", "dopo la gara e prima del riposo", "per tre mesi in montagna"]),
+    "nl": (["de arts", "het team", "een loper", "de studie"], ["heeft gezien", "veranderde niet", "meet", "volgt"], ["de enkel", "de spier", "een schoen", "het hart"], ["met een sensor in de zaal", "na de wedstrijd en voor de rust", "drie maanden lang op het strand"]),
+    "ru": (["врач из города", "наша команда на поле", "бегун из деревни"], ["увидел", "не изменил", "измеряет"], ["сон", "ритм", "мышцу", "обувь"], ["с датчиком в зале", "после забега и до отдыха", "в течение месяца на берегу"]),
+}
+
+
+def test_languages_outside_the_seed_words(spark):
+    """Linking words come from the corpus; with none of the seed words at all."""
+    rows, spam_ids, at = [], set(), 0
+    for lang, words in OTHERS.items():
+        genuine, stuffed = pages_of(words)
+        rows += [(at + i, t, lang.upper() if i % 5 == 0 else lang) for i, t in genuine + stuffed]
+        spam_ids |= {at + i for i, _ in stuffed}
+        at += 1000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for seed in ({}, spam.SEED):
+        assert {r["doc_id"] for r in spam.spam_pages(df, seed=seed).filter("is_spam").collect()} == spam_ids
+    learned = {(r["lang"], r["word"]) for r in spam.linking_words(df).collect()}
+    assert {("it", "con"), ("nl", "met"), ("ru", "в")} <= learned and not {w for _, w in learned} & {"xoom", "caviglia", "enkel"}
+
+
+def test_automaton_of_pieces():
+    """Cutting at rare tokens loses no substring that occurs often enough."""
+    r = random.Random(8)
+    for least in (2, 3, 4):
+        for _ in range(40):
+            codes = [r.choice((0, 1, 2, r.randrange(30))) for _ in range(r.randrange(1, 90))]
+            for density in (0.0, 0.06):
+                assert spam.PageAutomaton(codes, least).covered(least, density) == spam.PageAutomaton(codes).covered(least, density)
+
+
+def test_no_spam_without_repetition():
+    fresh = [f"{a}{b}{c}" for a in "bcdfg" for b in "hjklm" for c in "npqrs"]
+    assert share(" ".join(fresh)) == 0.0 and share(" ".join(fresh[:10] * 6)) == 1.0

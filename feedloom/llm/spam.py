@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.words import WORD
+from feedloom.runtime import stage
 
 #: Linking words of English, German, French and Spanish, for corpora too small to learn from.
 _SEED = (
@@ -97,7 +98,8 @@ def linking_words(
     tag = F.regexp_extract(F.lower(F.coalesce(F.col(lang).cast("string"), F.lit(""))), r"^([a-z]{2,3})(?:[^a-z]|$)", 1)
     some = documents.select(tag.alias("lang"), F.col(text).alias("text")).filter("text <> ''")
     counts = some.mapInPandas(_word_counts, "lang string, word string, held bigint, uses bigint, ends bigint")
-    total = counts.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("held", "uses", "ends")])
+    # Read twice below, so staged: else all documents would be counted twice. The row without a word counts documents.
+    total = stage(counts.groupBy("lang", "word").agg(*[F.sum(c).alias(c) for c in ("held", "uses", "ends")]), "word-counts")
     by_lang = Window.partitionBy("lang")
     sizes = total.groupBy("lang").agg(F.max(F.when(F.col("word").isNull(), F.col("held"))).alias("documents"), F.sum("uses").alias("all_uses"))
     known = (

@@ -5,8 +5,8 @@ A page is read in units: lines, and the sentences in them. Two things are measur
 * Coverage. The suffix automaton of the whole page, over its words and marks (`#`, `|`, brackets and the like; numbers are
   all one word), counts how often every substring occurs. Its states' longest strings are the maximal repeated substrings;
   their characters are what repetition covers.
-* Clause structure. A unit reads as a sentence if enough of its words are linking words, of more than one kind, and it is
-  not mostly links, tags or cells. Linking words are learned from the corpus, per language: words that a good part of the
+* Clause structure. A unit reads as a sentence if enough of its words are linking words, of more than one kind and of
+  more kinds the longer it is, and it is not mostly links, tags or cells. Linking words are learned from the corpus, per language: words that a good part of the
   documents hold and that hardly ever end a clause, as articles, prepositions, conjunctions and many verbs do.
 
 Neighbouring units without clause structure are one block. A block counts against the page if repetition covers `loose` of
@@ -127,8 +127,8 @@ def _units(text: str) -> list[str]:
     return [u for line in lines for u in SENTENCES.split(line) if u and not u.isspace()]
 
 
-#: Share of linking words from which on a string reads as a sentence.
-LINKED = 0.12
+#: Share of linking words from which on a string reads as a sentence, and the number of words for which it needs a further kind.
+LINKED, WORDS_A_KIND = 0.12, 15
 
 
 def has_clause(unit: str, core: list[str], linking: Mapping[str, float] = SEED) -> bool:
@@ -138,7 +138,7 @@ def has_clause(unit: str, core: list[str], linking: Mapping[str, float] = SEED)
         return False
     found = [w for w in core if w in linking]
     kinds = len(set(found))
-    if kinds < 2 and (not kinds or n < 6):
+    if kinds * WORDS_A_KIND < n or kinds < 2 and n < 6:
         return False
     if len(CELLS.findall(unit)) * 4 > n:
         return False

@@ -54,45 +54,66 @@ def _latest_first(column: str):
     return -F.coalesce(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', {column})"), F.lit(-(2**62)))
 
 
+def _by_trust() -> tuple:
+    return -F.coalesce("trust", F.lit(-1)), _latest_first("refreshed_at")
+
+
 def _bundles() -> list[survivor.Bundle]:
+    """What the survivor's summary, citations and date are is fixed, so they lead; year and precision go by the date."""
     begins = F.col("dated.begins").cast("timestamp_ntz")
+    trust = F.col("trust")
     return [
-        survivor.Bundle("summary", ("summary",), (F.col("summary") != "") & ~F.coalesce("cut", F.lit(False)), (-F.length("summary"),)),
-        survivor.Bundle("citations", ("citations", "metrics", "refreshed_at"), F.col("citations").between(0, 999_999), (_latest_first("refreshed_at"),)),
+        survivor.Bundle("summary", ("summary",), (F.col("summary") != "") & ~F.coalesce("cut", F.lit(False)), (-F.length("summary"),), leading=True),
+        survivor.Bundle("citations", ("citations", "metrics", "refreshed_at"), F.col("citations").between(0, 999_999), (_latest_first("refreshed_at"),), leading=True),
         survivor.Bundle(
-            "published", ("published", "published_year", "dated"), F.coalesce(begins <= F.col("refreshed_at"), F.lit(False)),
-            (F.col("dated.precision"), -F.coalesce("trust", F.lit(-1)), _latest_first("refreshed_at")),
+            "published", ("published", "dated"), F.coalesce(begins <= F.col("refreshed_at"), F.lit(False)), (F.col("dated.precision"), *_by_trust()), leading=True
         ),
+        survivor.Bundle("year", ("published_year",), F.col("published_year").isNotNull(), _by_trust(), trust),
+        survivor.Bundle("precision", ("date_precision",), F.col("date_precision") != "", _by_trust(), trust),
     ]
 
 
+def _dependencies() -> list[survivor.Dependency]:
+    """published -> published_year, date_precision."""
+    named = F.element_at(F.array(*map(F.lit, ("day", "month", "year"))), F.col("dated.precision") + 1)
+    return [
+        survivor.Dependency("published", "year", F.year("dated.begins"), F.col("published_year")), survivor.Dependency("published", "precision", named, F.col("date_precision")),
+    ]
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each work with several records, the records whose summary, citations and date are kept."""
-    ids_only = [replace(b, fields=()) for b in _bundles()]
-    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", ids_only, latest="ingested_at")
+    # The summary's text is in no column here, so it need not travel.
+    bundles = [replace(b, fields=()) if b.name == "summary" else b for b in _bundles()]
+    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", bundles, _dependencies(), latest="ingested_at")
     return kept.select("canonical_url", "summary_id", "citations_id", "published_id")
 
 
-def _rights_allow_text(access: dict | None, rights: dict | None) -> bool:
-    return not (access and access["full_text_available"]) or bool(rights and rights["rights_status"] in ("open", "licensed"))
-
-
 def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The surviving record of each work with several: a full text is only claimed beside rights that allow it."""
-    by_trust = (-F.coalesce("trust", F.lit(-1)), _latest_first("refreshed_at"))
+    """The surviving record of each work with several: values by trust, under the dependencies of the table.
+
+    published -> published_year, date_precision; authors -> author; provider -> provider_via. An author list that was cut
+    short comes after whole ones.
+    """
+    trust = F.col("trust")
     bundles = [
         *_bundles(),
-        survivor.Bundle("outlet", ("venue", "publisher", "host_domain"), F.col("venue") != "", by_trust),
-        survivor.Bundle("people", ("author", "authors"), F.col("authors") != "", by_trust),
-        survivor.Bundle("access", ("open_access_pdf", "full_text_available"), F.col("full_text_available").isNotNull(), (F.col("open_access_pdf").isNull(), *by_trust)),
-        survivor.Bundle("rights", ("rights_status", "license_id", "attribution"), F.col("rights_status").isNotNull(), (F.col("license_id").isNull(), *by_trust)),
+        survivor.Bundle("outlet", ("venue", "publisher", "host_domain"), F.col("venue") != "", _by_trust(), trust),
+        survivor.Bundle("people", ("authors",), F.col("authors") != "", (F.col("authors").endswith("…"), *_by_trust()), F.when(F.col("authors").endswith("…"), 0.0).otherwise(trust), weight=2.0),
+        survivor.Bundle("byline", ("author",), F.col("author") != "", _by_trust(), trust),
+        survivor.Bundle("origin", ("source_id", "provider"), F.col("provider") != "", _by_trust(), trust),
+        survivor.Bundle("via", ("provider_via",), F.col("provider_via") != "", _by_trust(), trust),
+        survivor.Bundle("access", ("open_access_pdf", "full_text_available"), F.col("full_text_available").isNotNull(), (F.col("open_access_pdf").isNull(), *_by_trust())),
+    ]
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    dependencies = [
+        *_dependencies(), survivor.Dependency("people", "byline", some("author"), some("author")), survivor.Dependency("origin", "via", some("provider_via"), some("provider_via")),
     ]
-    constraints = [survivor.Constraint("access", "rights", _rights_allow_text)]
-    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", bundles, constraints, latest="ingested_at")
+    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", bundles, dependencies, latest="ingested_at")
     return kept.select(
-        "canonical_url", "n_ids", "summary_id", "citations_id", "published_id", "outlet_id", "people_id", "access_id", "rights_id",
-        "summary.summary", "citations.citations", "published.published", "published.published_year", "outlet.venue", "outlet.publisher",
-        "people.authors", "access.open_access_pdf", "access.full_text_available", "rights.rights_status", "rights.license_id",
+        "canonical_url", "n_ids", "summary_id", "citations_id", "published_id", "year_id", "precision_id", "outlet_id", "people_id", "byline_id", "origin_id", "via_id", "access_id",
+        "summary.summary", "citations.citations", "published.published", "year.published_year", "precision.date_precision", "outlet.venue", "outlet.publisher",
+        "people.authors", "byline.author", "origin.provider", "via.provider_via", "access.open_access_pdf", "access.full_text_available",
     )
 
 

@@ -1,22 +1,26 @@
 """One surviving record per group of duplicates, from consistent bundles of fields.
 
 Fields that depend on each other form a bundle, and a bundle's values are taken whole, from one record, so dependencies
-inside it hold in the survivor as they did in the record. Each bundle ranks the group's eligible records by its own
-order of trust. Constraints tie bundles together; branch and bound finds the choice of records with the least total rank
-that meets all of them.
-
-The root of the search, every bundle's best, comes from one aggregate per group that combines on the map side, so a
-group of any size, even a third of all rows, is never collected. Only groups whose root breaks a constraint are searched,
-over each bundle's `width` best records; a solution is accepted if no record beyond these could cost less, else the
-search is repeated four times as wide. So the result is exact whatever the width.
+inside it hold in the survivor as they did in the record. Functional dependencies tie bundles together: what a candidate
+of the determining bundle expects, the candidate of the dependent bundle must have. Branch and bound picks one candidate
+per bundle so that the sum of weight times trust is largest and every dependency holds; a bundle may stay empty at no
+trust, so there always is a solution. A leading bundle keeps its first candidate whatever that costs the others.
+
+Candidates are the different values of a bundle in a group, each by its best record, not the group's records. The root of
+the search, every bundle's best, comes from one aggregate per group that combines on the map side, and is checked against
+the dependencies by column expressions; so a group of any size, even a third of all rows, is never collected. Only groups
+whose root breaks a dependency are searched, over each bundle's `width` best candidates; a solution is final if no
+candidate beyond these could give more, else the search is repeated four times as wide. So the result is exact whatever
+the width.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,58 +30,78 @@ from feedloom.runtime import stage
 
 @dataclass(frozen=True)
 class Bundle:
-    """fields taken together from one eligible record: the first by `order` (ascending), then by the smallest id."""
+    """fields taken together from one eligible record: the first by `order` (ascending), then by the smallest id.
+
+    trust: what a candidate is worth, above 0, and not rising along the order; null counts as the least worth. leading: the
+    first candidate is kept, and other bundles must go by it.
+    """
 
     name: str
     fields: tuple[str, ...]
     eligible: Column
     order: tuple[Column, ...]
+    trust: Column | None = None
     weight: float = 1.0
+    leading: bool = False
 
 
 @dataclass(frozen=True)
-class Constraint:
-    """holds(values of bundle a, values of bundle b): dicts by field, or None where the group has no eligible record."""
-
-    a: str
-    b: str
-    holds: Callable[[dict | None, dict | None], bool]
-
-
-def branch_and_bound(choices: dict[str, list[dict]], weights: dict[str, float], constraints: Sequence[Constraint]) -> tuple[float, dict[str, int]] | None:
-    """Cheapest choice of one candidate per bundle (cost: weight times position) that meets all constraints."""
-    names = sorted(choices, key=lambda n: (len(choices[n]), n))
-    best: list = [float("inf"), None]
-
-    def meets(picked: dict[str, int], name: str, at: int) -> bool:
-        for c in constraints:
-            if name in (c.a, c.b):
-                other = c.b if name == c.a else c.a
-                if other in picked or not choices.get(other):
-                    mine = choices[name][at]
-                    theirs = choices[other][picked[other]] if other in picked else None
-                    if not (c.holds(mine, theirs) if name == c.a else c.holds(theirs, mine)):
-                        return False
-        return True
-
-    def descend(i: int, cost: float, picked: dict[str, int]) -> None:
-        if cost >= best[0]:  # every further bundle costs at least nothing
+class Dependency:
+    """A functional dependency: a record in `determinant` expects a value, a record in `dependent` has one; they must agree.
+
+    Null on either side, or an empty bundle, contradicts nothing.
+    """
+
+    determinant: str
+    dependent: str
+    expects: Column
+    has: Column
+
+
+LEAST_TRUST = 1e-6
+
+
+def branch_and_bound(
+    trusts: dict[str, list[float]], clashes: Sequence[tuple[str, str, np.ndarray]], weights: dict[str, float]
+) -> tuple[float, dict[str, int]]:
+    """The choice of a candidate (or none, -1) per bundle with the most weighted trust in which no pair clashes.
+
+    trusts: of each bundle's candidates, best first. clashes: (bundle a, bundle b, matrix of the candidates that exclude each
+    other). Of equal choices the one that comes first along the bundles' orders is taken.
+    """
+    names = sorted(trusts, key=lambda n: (-weights[n], n))
+    place = {n: i for i, n in enumerate(names)}
+    against: list[list[tuple[int, np.ndarray]]] = [[] for _ in names]
+    for a, b, matrix in clashes:
+        if place[a] < place[b]:
+            against[place[b]].append((place[a], matrix.T))
+        else:
+            against[place[a]].append((place[b], matrix))
+    # The most that the bundles from here on could add.
+    hope = np.zeros(len(names) + 1)
+    for i in range(len(names) - 1, -1, -1):
+        hope[i] = hope[i + 1] + (weights[names[i]] * trusts[names[i]][0] if trusts[names[i]] else 0.0)
+    best: list = [-1.0, [-1] * len(names)]
+    picked = [-1] * len(names)
+
+    def descend(i: int, value: float) -> None:
+        if value + hope[i] <= best[0]:
             return
         if i == len(names):
-            best[0], best[1] = cost, dict(picked)
-            return
-        name = names[i]
-        if not choices[name]:
-            descend(i + 1, cost, picked)
+            best[0], best[1] = value, picked.copy()
             return
-        for at in range(len(choices[name])):
-            if cost + weights[name] * at >= best[0]:
+        mine = trusts[names[i]]
+        for at in range(len(mine)):
+            if value + weights[names[i]] * mine[at] + hope[i + 1] <= best[0]:
                 break
-            if meets(picked, name, at):
-                descend(i + 1, cost + weights[name] * at, {**picked, name: at})
+            if all(picked[j] < 0 or not matrix[at, picked[j]] for j, matrix in against[i]):
+                picked[i] = at
+                descend(i + 1, value + weights[names[i]] * mine[at])
+        picked[i] = -1
+        descend(i + 1, value)
 
-    descend(0, 0.0, {})
-    return None if best[1] is None else (best[0], best[1])
+    descend(0, 0.0)
+    return best[0], dict(zip(names, best[1]))
 
 
 def _one_row_per_id(records: DataFrame, key: str, id: str, latest: str | None) -> DataFrame:
@@ -87,92 +111,125 @@ def _one_row_per_id(records: DataFrame, key: str, id: str, latest: str | None) -
     return keyed.groupBy(key, id).agg(F.max_by(F.struct(*others), by).alias("r")).select(key, id, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-def _rank(b: Bundle, id: str) -> list[Column]:
-    return [o.alias(f"o{i}") for i, o in enumerate(b.order)] + [F.col(id).alias("id")]
+def _sides(name: str, dependencies: Sequence[Dependency]) -> list[str]:
+    """The columns by which candidates of a bundle differ for the dependencies."""
+    return [f"__x{i}" for i, d in enumerate(dependencies) if d.determinant == name] + [f"__h{i}" for i, d in enumerate(dependencies) if d.dependent == name]
 
 
 def survivors(
-    records: DataFrame, key: str, id: str, bundles: Sequence[Bundle], constraints: Sequence[Constraint] = (), *,
-    latest: str | None = None, min_ids: int = 2, width: int = 4,
+    records: DataFrame, key: str, id: str, bundles: Sequence[Bundle], dependencies: Sequence[Dependency] = (), *,
+    latest: str | None = None, min_ids: int = 2, width: int = 8,
 ) -> DataFrame:
     """(key, n_ids, and for each bundle <name>_id and <name>, a struct of its fields); one row per key of min_ids ids or more.
 
     Rows with a null key or id are left out. Rows of one id count once: the one with the largest `latest` column, if it
-    is given, then any fixed one. A bundle without an eligible record is null, as it is if no choice of records meets
-    the constraints. An empty table yields no rows. Columns that no bundle names may have any name.
+    is given, then any fixed one. A bundle without an eligible record is null, as is one that no candidate suits. An empty
+    table yields no rows. Columns that no bundle names may have any name.
     """
+    leading = {b.name for b in bundles if b.leading}
+    if any(d.determinant in leading and d.dependent in leading for d in dependencies):
+        raise ValueError("a dependency between leading bundles cannot be met")
     needed = sorted({key, id, *([latest] if latest else []), *(f for b in bundles for f in b.fields)})
     marked = records.select(
-        *needed, *[b.eligible.alias(f"__e_{b.name}") for b in bundles], *[F.struct(*_rank(b, id)).alias(f"__o_{b.name}") for b in bundles]
+        *needed,
+        *[
+            F.when(b.eligible, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(b.order)], F.col(id).alias("id"))).alias(f"__o_{b.name}")
+            for b in bundles
+        ],
+        *[F.greatest(F.coalesce((F.lit(1.0) if b.trust is None else b.trust).cast("double"), F.lit(LEAST_TRUST)), F.lit(LEAST_TRUST)).alias(f"__t_{b.name}") for b in bundles],
+        *[d.expects.cast("string").alias(f"__x{i}") for i, d in enumerate(dependencies)],
+        *[d.has.cast("string").alias(f"__h{i}") for i, d in enumerate(dependencies)],
     )
     one = _one_row_per_id(marked, key, id, latest)
-    values = lambda b: F.struct(F.col(id).alias("__id"), *b.fields)
-    best = [F.min_by(F.when(F.col(f"__e_{b.name}"), values(b)), F.when(F.col(f"__e_{b.name}"), F.col(f"__o_{b.name}"))).alias(b.name) for b in bundles]
+    if dependencies:
+        one = stage(one, "survivor-records")  # read for the roots, the candidates and the values
+    values = lambda b: F.struct(F.col(id).alias("__id"), *b.fields, *_sides(b.name, dependencies))
+    best = [F.min_by(values(b), f"__o_{b.name}").alias(b.name) for b in bundles]
     root = one.groupBy(key).agg(F.count(F.lit(1)).alias("n_ids"), *best).filter(F.col("n_ids") >= min_ids)
-    if constraints:
-        root = stage(root, "survivor-roots")
-        root = _searched(root, one, key, id, bundles, constraints, width)
+    if dependencies:
+        agree = [F.coalesce(F.col(f"{d.determinant}.__x{i}") == F.col(f"{d.dependent}.__h{i}"), F.lit(True)) for i, d in enumerate(dependencies)]
+        root = stage(root.withColumn("__ok", reduce(lambda a, b: a & b, agree)), "survivor-roots")
+        bare = [F.col(b.name).dropFields(*s).alias(b.name) if (s := _sides(b.name, dependencies)) else F.col(b.name) for b in bundles]
+        settled = root.filter("__ok").select(key, "n_ids", *bare)
+        searched = _searched(root.filter("not __ok").select(key, "n_ids"), one, key, id, bundles, dependencies, width)
+        root = settled.unionByName(searched)
     return root.select(
         key, "n_ids", *[x for b in bundles for x in ((F.col(f"{b.name}.__id").alias(f"{b.name}_id"), *([F.col(b.name).dropFields("__id").alias(b.name)] if b.fields else [])))]
     )
 
 
-def _searched(root: DataFrame, one: DataFrame, key: str, id: str, bundles, constraints, width: int) -> DataFrame:
+def _candidates(rows: DataFrame, key: str, id: str, b: Bundle, dependencies: Sequence[Dependency], width: int) -> DataFrame:
+    """(key, bundle, at, id, trust, and all dependencies' sides) of the `width` + 1 first different values of a bundle."""
+    sides = _sides(b.name, dependencies)
+    mine = rows.filter(F.col(f"__o_{b.name}").isNotNull())
+    if b.leading or not sides:  # nothing but the first is ever taken
+        first = mine.groupBy(key).agg(F.min(f"__o_{b.name}").alias("o"), F.min_by(F.struct(F.col(id).alias("i"), F.col(f"__t_{b.name}").alias("t"), *sides), f"__o_{b.name}").alias("v"))
+        ranked = first.withColumn("at", F.lit(0))
+    else:
+        each = mine.groupBy(key, *sides).agg(F.min(f"__o_{b.name}").alias("o"), F.min_by(F.struct(F.col(id).alias("i"), F.col(f"__t_{b.name}").alias("t"), *sides), f"__o_{b.name}").alias("v"))
+        ranked = each.select(key, "o", "v").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("o")) - 1).filter(F.col("at") <= width)
+    every = [f"__{s}{i}" for i in range(len(dependencies)) for s in "xh"]
+    return ranked.select(
+        key, F.lit(b.name).alias("__bundle"), F.col("at").alias("__at"), F.col("v.i").alias("__id"), F.col("v.t").alias("__trust"),
+        *[F.col(f"v.{c}").alias(c) if c in sides else F.lit(None).cast("string").alias(c) for c in every],
+    )
+
+
+def _searched(todo: DataFrame, one: DataFrame, key: str, id: str, bundles, dependencies, width: int) -> DataFrame:
     names = [b.name for b in bundles]
-    fields = {b.name: b.fields for b in bundles}  # what runs in workers must not hold columns
-    weights = {b.name: b.weight for b in bundles}
-    plain = lambda v: None if v is None else v if isinstance(v, dict) else v.asDict(True) if hasattr(v, "asDict") else dict(v)
-
-    @F.pandas_udf("boolean")
-    def consistent(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([all(c.holds(plain(r[c.a]), plain(r[c.b])) for c in constraints) for _, r in rows.iterrows()], dtype=bool)
-
-    checked = stage(root.withColumn("__ok", consistent(F.struct(*names))), "survivor-checked")
-    done = [checked.filter("__ok").drop("__ok")]
-    todo = checked.filter("not __ok").drop("__ok")
-    while not todo.isEmpty():
-        candidates = None
-        for i, b in enumerate(bundles):
-            w = Window.partitionBy(key).orderBy(f"__o_{b.name}")
-            part = (
-                one.join(todo.select(key), key, "left_semi").filter(F.col(f"__e_{b.name}")).withColumn("__at", F.row_number().over(w) - 1)
-                .filter(F.col("__at") <= width).select(key, F.lit(b.name).alias("__bundle"), "__at", F.col(id).alias("__id"), F.to_json(F.struct(*b.fields)).alias("__values"))
-            )
-            candidates = part if candidates is None else candidates.unionByName(part)
-
+    weights = {b.name: b.weight for b in bundles}  # what runs in workers must not hold columns
+    leading = frozenset(b.name for b in bundles if b.leading)
+    ties = [(d.determinant, d.dependent) for d in dependencies]
+    types = dict(one.dtypes)
+    schema = f"`{key}` {types[key]}, __final boolean, " + ", ".join(f"__p_{n} {types[id]}" for n in names)
+    rows = stage(one.join(todo.select(key), key, "left_semi"), "survivor-open")
+    left, done = todo, []
+    while True:
+        candidates = reduce(DataFrame.unionByName, [_candidates(rows, key, id, b, dependencies, width) for b in bundles])
         limit = width
 
         def search(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("__at")
-            lists: dict[str, list[dict]] = {n: [] for n in names}
-            more = dict.fromkeys(names, False)
-            for bundle, at, i, v in zip(pdf["__bundle"], pdf["__at"], pdf["__id"], pdf["__values"]):
-                if at == limit:
-                    more[bundle] = True
-                else:
-                    lists[bundle].append({**dict.fromkeys(fields[bundle]), **json.loads(v), "__id": i})
-            got = branch_and_bound(lists, weights, constraints)
-            unseen = min([weights[n] * limit for n in names if more[n]], default=float("inf"))
-            final = unseen == float("inf") or (got is not None and got[0] <= unseen)
-            out = {key: [pdf[key].iloc[0]], "__final": [final]}
+            lists, more = {}, []
+            for n in names:
+                mine = pdf[pdf["__bundle"] == n]
+                if len(mine) > limit:
+                    more.append(n)
+                lists[n] = mine.iloc[:limit]
+            scale = {n: float(x["__trust"].iloc[0]) if len(x) else 1.0 for n, x in lists.items()}
+            trusts = {n: [*np.minimum.accumulate(x["__trust"].to_numpy(float) / scale[n])] if len(x) else [] for n, x in lists.items()}
+            clashes = []
+            for i, (a, b) in enumerate(ties):
+                expects, has = lists[a][f"__x{i}"].to_numpy(object)[:, None], lists[b][f"__h{i}"].to_numpy(object)[None, :]
+                clashes.append((a, b, (expects != has) & ~pd.isna(expects) & ~pd.isna(has)))
+            # A leading bundle outweighs all others together.
+            total = sum(weights.values()) + 1
+            weighed = {n: w * (total if n in leading else 1) for n, w in weights.items()}
+            value, picked = branch_and_bound(trusts, clashes, weighed)
+            full = sum(weighed[n] * t[0] for n, t in trusts.items() if t)
+            # With a candidate not seen, a bundle gives no more than its last one seen.
+            unseen = max((full - weighed[n] * (1 - trusts[n][-1]) for n in more), default=-1.0)
+            out = {key: [pdf[key].iloc[0]], "__final": [not more or value >= unseen - 1e-9]}
             for n in names:
-                out[f"__p_{n}"] = [lists[n][got[1][n]]["__id"] if got and n in got[1] else None]
+                out[f"__p_{n}"] = [lists[n]["__id"].iloc[picked[n]] if picked[n] >= 0 else None]
             return pd.DataFrame(out)
 
-        types = dict(one.dtypes)
-        schema = f"`{key}` {types[key]}, __final boolean, " + ", ".join(f"__p_{n} {types[id]}" for n in names)
         found = stage(candidates.groupBy(key).applyInPandas(search, schema), "survivor-search")
-        settled = todo.select(key, "n_ids").join(found.filter("__final"), key)
-        for b in bundles:
-            these = one.select(key, F.col(id).alias(f"__p_{b.name}"), F.struct(F.col(id).alias("__id"), *b.fields).alias(b.name))
-            settled = settled.join(these, [key, f"__p_{b.name}"], "left")
-        done.append(settled.select(*root.columns))
-        todo = stage(todo.join(found.filter("not __final").select(key), key, "left_semi"), "survivor-todo")
+        done.append(found.filter("__final").drop("__final"))
+        open_ = found.filter("not __final").select(key)
+        if open_.isEmpty():
+            break
+        left = open_
+        rows = stage(rows.join(left, key, "left_semi"), "survivor-open")
         width *= 4
-    result = done[0]
-    for d in done[1:]:
-        result = result.unionByName(d)
-    return result
+    settled = todo.join(reduce(DataFrame.unionByName, done), key)
+    for b in bundles:
+        these = one.select(key, F.col(id).alias(f"__p_{b.name}"), F.struct(F.col(id).alias("__id"), *b.fields).alias(b.name))
+        if b.fields:
+            settled = settled.join(these, [key, f"__p_{b.name}"], "left")
+        else:
+            settled = settled.withColumn(b.name, F.when(F.col(f"__p_{b.name}").isNotNull(), F.struct(F.col(f"__p_{b.name}").alias("__id"))))
+    return settled.select(key, "n_ids", *names)
 
 
 # --- dates as people wrote them ----------------------------------------------------------------------------------------

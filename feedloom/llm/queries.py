@@ -40,14 +40,12 @@ def p3_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(e.groupBy("entity").agg((F.count(F.lit(1)) - 1).alias("links")), "entity").select("name_id", "entity", "links")
 
 
-def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fitness with `cut` (is its summary cut off), `trust` of its source, and `dated`, its date as read."""
+def _works(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """These columns of fitness, `chars` of the summary, `cut` (is it cut off), `trust` of the source, and `dated`, the date as read."""
     trust = table(spark, sf_dir, "sources").groupBy("source_id").agg(F.max("trust").alias("trust"))
     cut = _judged_summaries(spark, sf_dir).select("id", F.col("is_cut").alias("cut"))
-    return (
-        table(spark, sf_dir, "fitness").join(cut, "id", "left").join(trust, "source_id", "left")
-        .withColumn("dated", survivor.read_date(F.col("published")))
-    )
+    works = table(spark, sf_dir, "fitness").select("canonical_url", "id", "ingested_at", "source_id", F.length("summary").alias("chars"), *columns)
+    return works.join(cut, "id", "left").join(trust, "source_id", "left").withColumn("dated", survivor.read_date(F.col("published")))
 
 
 def _latest_first(column: str):
@@ -63,7 +61,7 @@ def _bundles() -> list[survivor.Bundle]:
     begins = F.col("dated.begins").cast("timestamp_ntz")
     trust = F.col("trust")
     return [
-        survivor.Bundle("summary", ("summary",), (F.col("summary") != "") & ~F.coalesce("cut", F.lit(False)), (-F.length("summary"),), leading=True),
+        survivor.Bundle("summary", ("summary",), (F.col("chars") > 0) & ~F.coalesce("cut", F.lit(False)), (-F.col("chars"),), leading=True),
         survivor.Bundle("citations", ("citations", "metrics", "refreshed_at"), F.col("citations").between(0, 999_999), (_latest_first("refreshed_at"),), leading=True),
         survivor.Bundle(
             "published", ("published", "dated"), F.coalesce(begins <= F.col("refreshed_at"), F.lit(False)), (F.col("dated.precision"), *_by_trust()), leading=True
@@ -85,7 +83,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each work with several records, the records whose summary, citations and date are kept."""
     # The summary's text is in no column here, so it need not travel.
     bundles = [replace(b, fields=()) if b.name == "summary" else b for b in _bundles()]
-    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", bundles, _dependencies(), latest="ingested_at")
+    works = _works(spark, sf_dir, "citations", "metrics", "refreshed_at", "published", "published_year", "date_precision")
+    kept = survivor.survivors(works, "canonical_url", "id", bundles, _dependencies(), latest="ingested_at")
     return kept.select("canonical_url", "summary_id", "citations_id", "published_id")
 
 
@@ -109,7 +108,11 @@ def p4_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     dependencies = [
         *_dependencies(), survivor.Dependency("people", "byline", some("author"), some("author")), survivor.Dependency("origin", "via", some("provider_via"), some("provider_via")),
     ]
-    kept = survivor.survivors(_works(spark, sf_dir), "canonical_url", "id", bundles, dependencies, latest="ingested_at")
+    works = _works(
+        spark, sf_dir, "summary", "citations", "metrics", "refreshed_at", "published", "published_year", "date_precision", "venue", "publisher", "host_domain",
+        "authors", "author", "provider", "provider_via", "open_access_pdf", "full_text_available",
+    )
+    kept = survivor.survivors(works, "canonical_url", "id", bundles, dependencies, latest="ingested_at")
     return kept.select(
         "canonical_url", "n_ids", "summary_id", "citations_id", "published_id", "year_id", "precision_id", "outlet_id", "people_id", "byline_id", "origin_id", "via_id", "access_id",
         "summary.summary", "citations.citations", "published.published", "year.published_year", "precision.date_precision", "outlet.venue", "outlet.publisher",

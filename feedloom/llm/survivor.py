@@ -16,7 +16,7 @@ the width.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -111,9 +111,29 @@ def _one_row_per_id(records: DataFrame, key: str, id: str, latest: str | None) -
     return keyed.groupBy(key, id).agg(F.max_by(F.struct(*others), by).alias("r")).select(key, id, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
-def _sides(name: str, dependencies: Sequence[Dependency]) -> list[str]:
+def _sides(name: str, dependencies: Sequence[Dependency]) -> list[Column]:
     """The columns by which candidates of a bundle differ for the dependencies."""
-    return [f"__x{i}" for i, d in enumerate(dependencies) if d.determinant == name] + [f"__h{i}" for i, d in enumerate(dependencies) if d.dependent == name]
+    expects = [d.expects.cast("string").alias(f"__x{i}") for i, d in enumerate(dependencies) if d.determinant == name]
+    return expects + [d.has.cast("string").alias(f"__h{i}") for i, d in enumerate(dependencies) if d.dependent == name]
+
+
+def _order(b: Bundle, id: str) -> Column:
+    """Null for a record that is not eligible."""
+    return F.when(b.eligible, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(b.order)], F.col(id).alias("id")))
+
+
+def _parts(bundles: Sequence[Bundle], dependencies: Sequence[Dependency]) -> list[list[Bundle]]:
+    """Bundles that dependencies tie together; each part is solved by itself. Bundles of no dependency are in none."""
+    of = {b.name: {b.name} for b in bundles}
+    for d in dependencies:
+        together = of[d.determinant] | of[d.dependent]
+        for n in together:
+            of[n] = together
+    parts: list[list[Bundle]] = []
+    for b in bundles:
+        if len(of[b.name]) > 1 and not any(b in p for p in parts):
+            parts.append([x for x in bundles if x.name in of[b.name]])
+    return parts
 
 
 def survivors(
@@ -124,112 +144,127 @@ def survivors(
 
     Rows with a null key or id are left out. Rows of one id count once: the one with the largest `latest` column, if it
     is given, then any fixed one. A bundle without an eligible record is null, as is one that no candidate suits. An empty
-    table yields no rows. Columns that no bundle names may have any name.
+    table yields no rows. All columns of records travel, so select what the bundles need; others may have any name.
     """
     leading = {b.name for b in bundles if b.leading}
     if any(d.determinant in leading and d.dependent in leading for d in dependencies):
         raise ValueError("a dependency between leading bundles cannot be met")
-    needed = sorted({key, id, *([latest] if latest else []), *(f for b in bundles for f in b.fields)})
-    marked = records.select(
-        *needed,
-        *[
-            F.when(b.eligible, F.struct(*[o.alias(f"o{i}") for i, o in enumerate(b.order)], F.col(id).alias("id"))).alias(f"__o_{b.name}")
-            for b in bundles
-        ],
-        *[F.greatest(F.coalesce((F.lit(1.0) if b.trust is None else b.trust).cast("double"), F.lit(LEAST_TRUST)), F.lit(LEAST_TRUST)).alias(f"__t_{b.name}") for b in bundles],
-        *[d.expects.cast("string").alias(f"__x{i}") for i, d in enumerate(dependencies)],
-        *[d.has.cast("string").alias(f"__h{i}") for i, d in enumerate(dependencies)],
-    )
-    one = _one_row_per_id(marked, key, id, latest)
-    if dependencies:
+    one = _one_row_per_id(records, key, id, latest)
+    parts = _parts(bundles, dependencies)
+    if parts:
         one = stage(one, "survivor-records")  # read for the roots, the candidates and the values
     values = lambda b: F.struct(F.col(id).alias("__id"), *b.fields, *_sides(b.name, dependencies))
-    best = [F.min_by(values(b), f"__o_{b.name}").alias(b.name) for b in bundles]
+    best = [F.min_by(values(b), _order(b, id)).alias(b.name) for b in bundles]
     root = one.groupBy(key).agg(F.count(F.lit(1)).alias("n_ids"), *best).filter(F.col("n_ids") >= min_ids)
-    if dependencies:
-        agree = [F.coalesce(F.col(f"{d.determinant}.__x{i}") == F.col(f"{d.dependent}.__h{i}"), F.lit(True)) for i, d in enumerate(dependencies)]
-        root = stage(root.withColumn("__ok", reduce(lambda a, b: a & b, agree)), "survivor-roots")
-        bare = [F.col(b.name).dropFields(*s).alias(b.name) if (s := _sides(b.name, dependencies)) else F.col(b.name) for b in bundles]
-        settled = root.filter("__ok").select(key, "n_ids", *bare)
-        searched = _searched(root.filter("not __ok").select(key, "n_ids"), one, key, id, bundles, dependencies, width)
-        root = settled.unionByName(searched)
+    if parts:
+        agrees = lambda i, d: F.coalesce(F.col(f"{d.determinant}.__x{i}") == F.col(f"{d.dependent}.__h{i}"), F.lit(True))
+        broken = [
+            ~reduce(lambda x, y: x & y, [agrees(i, d) for i, d in enumerate(dependencies) if d.determinant in {b.name for b in p}]).alias(f"__b{k}")
+            for k, p in enumerate(parts)
+        ]
+        sides = {b.name: [f"__{s}{i}" for i, d in enumerate(dependencies) for s, n in (("x", d.determinant), ("h", d.dependent)) if n == b.name] for b in bundles}
+        bare = [F.col(b.name).dropFields(*sides[b.name]).alias(b.name) if sides[b.name] else F.col(b.name) for b in bundles]
+        root = stage(root.select(key, "n_ids", *bare, F.array(*broken).alias("__broken")), "survivor-roots")
+        fine = F.forall("__broken", lambda x: ~x)
+        root = root.filter(fine).drop("__broken").unionByName(_searched(root.filter(~fine), one, key, id, bundles, dependencies, parts, width))
     return root.select(
         key, "n_ids", *[x for b in bundles for x in ((F.col(f"{b.name}.__id").alias(f"{b.name}_id"), *([F.col(b.name).dropFields("__id").alias(b.name)] if b.fields else [])))]
     )
 
 
-def _candidates(rows: DataFrame, key: str, id: str, b: Bundle, dependencies: Sequence[Dependency], width: int) -> DataFrame:
-    """(key, bundle, at, id, trust, and all dependencies' sides) of the `width` + 1 first different values of a bundle."""
+def _candidates(rows: DataFrame, key: str, id: str, b: Bundle, number: int, dependencies: Sequence[Dependency], width: int) -> DataFrame:
+    """(key, candidate: its bundle, place, id, trust, and all dependencies' sides): the `width` + 1 first different values."""
     sides = _sides(b.name, dependencies)
-    mine = rows.filter(F.col(f"__o_{b.name}").isNotNull())
-    if b.leading or not sides:  # nothing but the first is ever taken
-        first = mine.groupBy(key).agg(F.min(f"__o_{b.name}").alias("o"), F.min_by(F.struct(F.col(id).alias("i"), F.col(f"__t_{b.name}").alias("t"), *sides), f"__o_{b.name}").alias("v"))
-        ranked = first.withColumn("at", F.lit(0))
-    else:
-        each = mine.groupBy(key, *sides).agg(F.min(f"__o_{b.name}").alias("o"), F.min_by(F.struct(F.col(id).alias("i"), F.col(f"__t_{b.name}").alias("t"), *sides), f"__o_{b.name}").alias("v"))
-        ranked = each.select(key, "o", "v").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("o")) - 1).filter(F.col("at") <= width)
+    trust = F.greatest(F.coalesce((F.lit(1.0) if b.trust is None else b.trust).cast("double"), F.lit(LEAST_TRUST)), F.lit(LEAST_TRUST))
+    mine = rows.select(key, F.col(id).alias("i"), trust.alias("t"), _order(b, id).alias("o"), *sides).filter("o is not null")
+    named = [c for c in mine.columns if c.startswith("__")]
     every = [f"__{s}{i}" for i in range(len(dependencies)) for s in "xh"]
-    return ranked.select(
-        key, F.lit(b.name).alias("__bundle"), F.col("at").alias("__at"), F.col("v.i").alias("__id"), F.col("v.t").alias("__trust"),
-        *[F.col(f"v.{c}").alias(c) if c in sides else F.lit(None).cast("string").alias(c) for c in every],
+    # Of a leading bundle nothing but the first is ever taken.
+    each = mine.groupBy(key, *([] if b.leading else named)).agg(F.min("o").alias("o"), F.min_by(F.struct("i", "t", *named), "o").alias("v"))
+    placed = each.select(key, "o", "v").withColumn("at", F.row_number().over(Window.partitionBy(key).orderBy("o")) - 1).filter(F.col("at") <= width)
+    return placed.select(
+        key,
+        F.struct(
+            F.lit(number).alias("bundle"), F.col("at").alias("at"), F.col("v.i").alias("i"), F.col("v.t").alias("t"),
+            *[F.col(f"v.{c}").alias(c) if c in named else F.lit(None).cast("string").alias(c) for c in every],
+        ).alias("candidate"),
     )
 
 
-def _searched(todo: DataFrame, one: DataFrame, key: str, id: str, bundles, dependencies, width: int) -> DataFrame:
-    names = [b.name for b in bundles]
-    weights = {b.name: b.weight for b in bundles}  # what runs in workers must not hold columns
-    leading = frozenset(b.name for b in bundles if b.leading)
-    ties = [(d.determinant, d.dependent) for d in dependencies]
-    types = dict(one.dtypes)
-    schema = f"`{key}` {types[key]}, __final boolean, " + ", ".join(f"__p_{n} {types[id]}" for n in names)
-    rows = stage(one.join(todo.select(key), key, "left_semi"), "survivor-open")
-    left, done = todo, []
-    while True:
-        candidates = reduce(DataFrame.unionByName, [_candidates(rows, key, id, b, dependencies, width) for b in bundles])
-        limit = width
-
-        def search(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("__at")
-            lists, more = {}, []
-            for n in names:
-                mine = pdf[pdf["__bundle"] == n]
-                if len(mine) > limit:
-                    more.append(n)
-                lists[n] = mine.iloc[:limit]
-            scale = {n: float(x["__trust"].iloc[0]) if len(x) else 1.0 for n, x in lists.items()}
-            trusts = {n: [*np.minimum.accumulate(x["__trust"].to_numpy(float) / scale[n])] if len(x) else [] for n, x in lists.items()}
+def _solver(names: list[str], weights: dict[str, float], leading: frozenset[str], ties: list[tuple[str, str]], parts: list[list[str]], limit: int):
+    """For each group's list of candidates: (is the choice final, and its candidates' ids by bundle; null: none, or as before)."""
+
+    def solve(candidates: list[dict]) -> tuple[bool, list]:
+        lists: dict[str, list[dict]] = {n: [] for n in names}
+        for c in sorted(candidates, key=lambda c: c["at"]):
+            lists[names[c["bundle"]]].append(c)
+        final, out = True, dict.fromkeys(names)
+        for part in parts:
+            if not any(lists[n] for n in part):
+                continue
+            more = [n for n in part if len(lists[n]) > limit]
+            mine = {n: lists[n][:limit] for n in part}
+            trusts = {}
+            for n, x in mine.items():
+                least, trusts[n] = 1.0, []
+                for c in x:
+                    least = min(least, c["t"] / x[0]["t"])
+                    trusts[n].append(least)
             clashes = []
             for i, (a, b) in enumerate(ties):
-                expects, has = lists[a][f"__x{i}"].to_numpy(object)[:, None], lists[b][f"__h{i}"].to_numpy(object)[None, :]
-                clashes.append((a, b, (expects != has) & ~pd.isna(expects) & ~pd.isna(has)))
+                if a in mine:
+                    x, h = [c[f"__x{i}"] for c in mine[a]], [c[f"__h{i}"] for c in mine[b]]
+                    clashes.append((a, b, np.array([[p is not None and q is not None and p != q for q in h] for p in x], bool).reshape(len(x), len(h))))
             # A leading bundle outweighs all others together.
-            total = sum(weights.values()) + 1
-            weighed = {n: w * (total if n in leading else 1) for n, w in weights.items()}
+            total = sum(weights[n] for n in part) + 1
+            weighed = {n: weights[n] * (total if n in leading else 1) for n in part}
             value, picked = branch_and_bound(trusts, clashes, weighed)
             full = sum(weighed[n] * t[0] for n, t in trusts.items() if t)
             # With a candidate not seen, a bundle gives no more than its last one seen.
-            unseen = max((full - weighed[n] * (1 - trusts[n][-1]) for n in more), default=-1.0)
-            out = {key: [pdf[key].iloc[0]], "__final": [not more or value >= unseen - 1e-9]}
-            for n in names:
-                out[f"__p_{n}"] = [lists[n]["__id"].iloc[picked[n]] if picked[n] >= 0 else None]
-            return pd.DataFrame(out)
+            final &= not more or value >= max(full - weighed[n] * (1 - trusts[n][-1]) for n in more) - 1e-9
+            out.update({n: mine[n][k]["i"] for n, k in picked.items() if k >= 0})
+        return final, [out[n] for n in names]
 
-        found = stage(candidates.groupBy(key).applyInPandas(search, schema), "survivor-search")
+    return solve
+
+
+def _searched(todo: DataFrame, one: DataFrame, key: str, id: str, bundles, dependencies, parts, width: int) -> DataFrame:
+    tied = [b for p in parts for b in p]
+    names = [b.name for b in tied]  # what runs in workers must not hold columns
+    weights, leading = {b.name: b.weight for b in tied}, frozenset(b.name for b in tied if b.leading)
+    ties, by_part = [(d.determinant, d.dependent) for d in dependencies], [[b.name for b in p] for p in parts]
+    part_of = {b.name: k for k, p in enumerate(parts) for b in p}
+    types = dict(one.dtypes)
+    schema = f"`{key}` {types[key]}, __final boolean, " + ", ".join(f"__p_{n} {types[id]}" for n in names)
+    every = stage(one.join(todo.select(key, "__broken"), key), "survivor-open")
+    rows, done = every, []
+    while True:
+        part = [_candidates(rows.filter(F.get("__broken", part_of[b.name])), key, id, b, k, dependencies, width) for k, b in enumerate(tied)]
+        # At most width + 1 candidates per bundle, however large the group is.
+        groups = reduce(DataFrame.unionByName, part).groupBy(key).agg(F.collect_list("candidate").alias("candidates"))
+        solve = _solver(names, weights, leading, ties, by_part, width)
+
+        def run(batches: Iterator[pd.DataFrame], solve=solve) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                solved = [solve(c) for c in pdf["candidates"]]
+                yield pd.DataFrame({key: pdf[key], "__final": [f for f, _ in solved], **{f"__p_{n}": [p[i] for _, p in solved] for i, n in enumerate(names)}})
+
+        found = stage(groups.mapInPandas(run, schema), "survivor-search")
         done.append(found.filter("__final").drop("__final"))
         open_ = found.filter("not __final").select(key)
         if open_.isEmpty():
             break
-        left = open_
-        rows = stage(rows.join(left, key, "left_semi"), "survivor-open")
+        rows = stage(rows.join(open_, key, "left_semi"), "survivor-open")
         width *= 4
     settled = todo.join(reduce(DataFrame.unionByName, done), key)
-    for b in bundles:
-        these = one.select(key, F.col(id).alias(f"__p_{b.name}"), F.struct(F.col(id).alias("__id"), *b.fields).alias(b.name))
-        if b.fields:
-            settled = settled.join(these, [key, f"__p_{b.name}"], "left")
-        else:
-            settled = settled.withColumn(b.name, F.when(F.col(f"__p_{b.name}").isNotNull(), F.struct(F.col(f"__p_{b.name}").alias("__id"))))
-    return settled.select(key, "n_ids", *names)
+    for b in tied:
+        broken, chosen = F.get("__broken", part_of[b.name]), f"__p_{b.name}"
+        if b.fields and not b.leading:
+            these = every.select(key, F.col(id).alias(chosen), F.struct(F.col(id).alias("__id"), *b.fields).alias("__new"))
+            settled = settled.join(these, [key, chosen], "left").withColumn(b.name, F.when(broken, F.col("__new")).otherwise(F.col(b.name))).drop("__new")
+        elif not b.leading:
+            settled = settled.withColumn(b.name, F.when(~broken, F.col(b.name)).when(F.col(chosen).isNotNull(), F.struct(F.col(chosen).alias("__id"))))
+    return settled.select(key, "n_ids", *[b.name for b in bundles])
 
 
 # --- dates as people wrote them ----------------------------------------------------------------------------------------

@@ -149,7 +149,9 @@ def survivors(
     leading = {b.name for b in bundles if b.leading}
     if any(d.determinant in leading and d.dependent in leading for d in dependencies):
         raise ValueError("a dependency between leading bundles cannot be met")
-    one = _one_row_per_id(records, key, id, latest)
+    # Groups of fewer ids are in no result, so their records need not travel.
+    several = records.select(key, id).filter(F.col(id).isNotNull()).distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_ids)
+    one = _one_row_per_id(records.join(several.select(key), key, "left_semi"), key, id, latest)
     parts = _parts(bundles, dependencies)
     if parts:
         one = stage(one, "survivor-records")  # read for the roots, the candidates and the values

@@ -1,18 +1,22 @@
 """Text values cut off by field limits or in transfer.
 
-Evidence of two kinds is weighed for each value:
+Evidence of two kinds is weighed for each value, and each is fitted with the help of the other:
 
 * Length. Per source, the lengths of complete values are fitted by a log-normal distribution by maximum likelihood, in
-  which open-ended values at a candidate limit count as right-censored: the text was at least that long. A candidate
-  limit is a length with far more open-ended values than the fit expects. The posterior of a value being censored at its
-  length is the share of open-ended values there beyond the expected ones.
-* Ending. A sign of omission or a broken escape, entity, tag or code point decides at once, as does a sentence end. An open
-  ending is weighed by what the corpus itself shows: whether its last word is only the beginning of known words, how
-  often that word ends sentences, how often units that begin like the last one stay without a full stop (headlines and
-  closing notes do), and whether the unit has the separators that its like usually have.
+  which suspect values at a candidate limit count as right-censored: the text was at least that long. A candidate limit, in
+  characters or in bytes, is a length with far more suspect values than the fit expects. The posterior of a value being
+  censored at its length is the share of suspect values there beyond the expected ones.
+* Ending. A sign of omission or a broken escape, entity, tag or code point decides at once. An open ending is described by
+  what the corpus itself shows: whether its last word is only the beginning of known words, how often that word ends
+  sentences, how often units that begin like the last one stay without a full stop (headlines and closing notes do), and
+  whether the unit has the separators that its like usually have. What each of these says is not typed in but fitted: a
+  mixture of two classes, cut and whole, over the table of patterns, in which the length's posterior is the prior.
+
+A value that ends behind a sentence is no case, as it stops in no word or sentence; at a limit it counts in the expected
+share of its source with the probability that a cut falls there.
 
 All counts cover all rows; they are combined within a batch before the shuffle. Words, unit labels and lengths are joined
-by key, so nothing is collected. The per-source fit sees one row per distinct length.
+by key. What comes to the driver is bounded by the number of patterns. The per-source fit sees one row per distinct length.
 
 Null and empty values have no verdict: they are in no result of `judge`, and no share counts them. Texts of any length are
 read whole. Repeated rows of an id count once in shares.
@@ -203,26 +207,80 @@ def censoring_by_length(lengths: np.ndarray, opened: np.ndarray, closed: np.ndar
 
 
 def _limits(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One source's limits, in the unit in which its strongest limit stands out more."""
+    """One source's limits in characters and in bytes: a length may be one in either, or in both."""
     found = []
-    for unit, part in sorted(pdf.groupby("unit"), reverse=True):
+    for unit, part in sorted(pdf.groupby("unit")):
         part = part.sort_values("len")
-        spike, posterior = censoring_by_length(*(part[c].to_numpy(float) for c in ("len", "opened", "closed")))
-        strongest = part["opened"].to_numpy()[spike].max() if spike.any() else 0
-        found.append((strongest, pd.DataFrame({"source": part["source"], "unit": unit, "len": part["len"], "is_limit": spike, "censored": posterior})))
-    return max(found, key=lambda x: x[0])[1]
+        suspects, others, closed = (part[c].to_numpy(float) for c in ("suspects", "others", "closed"))
+        spike, posterior = censoring_by_length(part["len"].to_numpy(float), suspects, others + closed)
+        cut = posterior * suspects
+        opened = part["open_suspects"].to_numpy(float)
+        found.append(pd.DataFrame({
+            "source": part["source"], "unit": unit, "len": part["len"], "is_limit": spike, "censored": posterior,
+            "prior": posterior * opened / np.maximum(1, opened + others), "to_closed": cut / np.maximum(1, closed),
+        }))
+    return pd.concat(found)
+
+
+# --- endings -------------------------------------------------------------------------------------------------------------
+
+#: What the endings of open values are judged by, and how many different values each has.
+FEATURES = {"loose": 2, "mid_word": 2, "begins": 5, "word": 4, "unusual": 2}
+
+
+def fit_endings(patterns: np.ndarray, prior: np.ndarray, counts: np.ndarray, first: np.ndarray, smoothing: float = 0.5, rounds: int = 50) -> tuple[list[np.ndarray], float, float]:
+    """The log-likelihood ratio (cut against whole) of every value of every feature, the share of cut values off the limits,
+    and how many of the cut values break off inside a word.
+
+    A mixture of two classes with independent features, by expectation-maximisation over the table of patterns: patterns, one
+    row each; prior, that of the length (nan off the limits, where the share is estimated); counts, how many values show the
+    pattern; first, where to start: the probability that a pattern is cut.
+    """
+    cut = first.astype(float)
+    off = np.isnan(prior)
+    for _ in range(rounds):
+        share = float(((cut * counts)[off].sum() + 1) / (counts[off].sum() + 10))
+        ratios = []
+        for k, n in enumerate(FEATURES.values()):
+            held = [np.bincount(patterns[:, k], w * counts, minlength=n) + smoothing for w in (cut, 1 - cut)]
+            ratios.append(np.log(held[0] / held[0].sum()) - np.log(held[1] / held[1].sum()))
+        p = np.where(off, share, np.nan_to_num(prior, nan=0.5))
+        odds = np.log(p / (1 - p)) + sum(r[patterns[:, k]] for k, r in enumerate(ratios))
+        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+        if np.abs(new - cut).max() < 1e-6:
+            break
+        cut = new
+    inside = patterns[:, [*FEATURES].index("mid_word")] == 1
+    return ratios, share, float(((cut * counts)[inside].sum() + 0.5) / ((cut * counts).sum() + 1))
 
 
 # --- verdicts --------------------------------------------------------------------------------------------------------
 
 
 def limits(rows: DataFrame) -> DataFrame:
-    """(source, unit, len, is_limit, censored) of rows (source, chars, bytes, suspect): limits hold for characters or bytes."""
-    sized = rows.select("source", "suspect", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "len"))
+    """(source, unit, len, is_limit, censored, prior, to_closed) of rows (source, chars, bytes, kind, suspect).
+
+    Limits hold for characters or bytes. censored is the posterior of a suspect value of that length; prior that of an open
+    value before its ending is looked at; to_closed the number of cut values there for each closed one.
+    """
+    sized = rows.select("source", "suspect", "kind", F.explode(F.create_map(F.lit("chars"), "chars", F.lit("bytes"), "bytes")).alias("unit", "len"))
+    opened, suspect = F.col("kind") == "open", F.col("suspect")
     histogram = sized.groupBy("source", "unit", "len").agg(
-        F.sum(F.col("suspect").cast("bigint")).alias("opened"), F.sum((~F.col("suspect")).cast("bigint")).alias("closed")
+        F.count_if(suspect).alias("suspects"), F.count_if(opened & suspect).alias("open_suspects"), F.count_if(opened & ~suspect).alias("others"),
+        F.count_if(~opened & ~suspect).alias("closed"),
+    )
+    return histogram.groupBy("source").applyInPandas(
+        _limits, "source string, unit string, len int, is_limit boolean, censored double, prior double, to_closed double"
     )
-    return histogram.groupBy("source").applyInPandas(_limits, "source string, unit string, len int, is_limit boolean, censored double")
+
+
+def _with_limits(rows: DataFrame, at: DataFrame, *values: str) -> DataFrame:
+    """rows with these values of their length, the larger of characters and bytes; null off the limits."""
+    for unit in ("chars", "bytes"):
+        rows = rows.join(at.filter(F.col("unit") == unit).select("source", F.col("len").alias(unit), *[F.col(v).alias(f"{v}_{unit}") for v in values]), ["source", unit], "left")
+    for v in values:
+        rows = rows.withColumn(v, F.greatest(f"{v}_chars", f"{v}_bytes")).drop(f"{v}_chars", f"{v}_bytes")
+    return rows
 
 
 def judge(records: DataFrame, id: str, source: str, text: str, *, base: float = 0.12) -> DataFrame:
@@ -230,7 +288,7 @@ def judge(records: DataFrame, id: str, source: str, text: str, *, base: float =
 
     kind is how the text ends: marked, broken, closed or open. censored is the length's posterior (0 off the limits);
     score is the log-odds of being cut, is_cut says whether it is positive. base: the share of cut values among
-    open-ended ones away from the limits. An id with several texts is cut if one of them is.
+    open-ended ones away from the limits, to start from. An id with several texts is cut if one of them is.
     """
     typed = records.select(F.col(id).cast("string").alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     read = stage(typed.filter("id is not null and text is not null and text <> ''").mapInPandas(_reader, _READ), "endings")
@@ -247,14 +305,15 @@ def judge(records: DataFrame, id: str, source: str, text: str, *, base: float =
     signed = label.select(F.col("key").alias("sig_key"), F.col("opened").alias("os"))
     ends = label.select(F.col("key").alias("end_key"), F.col("opened").alias("at_end"))
     alone = label.select(F.col("key").alias("alone_key"), F.col("opened").alias("at_end_alone"))
-    all_ = label.select(F.col("key").alias("all_key"), F.col("opened").alias("o0"), F.col("closed").alias("c0"))
+    # Two rows, so every open value can hold them: how often units of whole and of longer texts stay open.
+    all_ = {r["key"]: (r["opened"], r["closed"]) for r in label.filter(F.col("key").isin("1|*", "n|*")).collect()}
+    of_all = lambda i: F.when(F.col("one").startswith("1|"), F.lit(all_.get("1|*", (0, 0))[i])).otherwise(F.lit(all_.get("n|*", (0, 0))[i]))
     seen = (
         rows.filter("kind = 'open'").withColumn("sig_key", F.concat_ws("|", "two", "signature")).withColumn("end_key", F.concat(F.lit("w|"), "last"))
-        .withColumn("alone_key", F.concat(F.lit("a|"), "last")).withColumn("all_key", F.concat(F.substring("one", 1, 2), F.lit("*")))
+        .withColumn("alone_key", F.concat(F.lit("a|"), "last")).withColumn("o0", of_all(0)).withColumn("c0", of_all(1))
         .join(word, "last", "left").join(longer, "last", "left").join(two, "two", "left").join(one, "one", "left")
-        .join(signed, "sig_key", "left").join(ends, "end_key", "left")
-        .join(alone, "alone_key", "left").join(all_, "all_key", "left")
-        .fillna(0, ["inner", "final", "o0", "c0", "o1", "c1", "o2", "c2", "os", "at_end", "at_end_alone"]).fillna(False, ["begins_word"])
+        .join(signed, "sig_key", "left").join(ends, "end_key", "left").join(alone, "alone_key", "left")
+        .fillna(0, ["inner", "final", "o1", "c1", "o2", "c2", "os", "at_end", "at_end_alone"]).fillna(False, ["begins_word"])
     )
     known = F.col("inner") + F.col("final")
     # A label seen often enough speaks for itself, else the first word does, else all units of whole or longer texts.
@@ -263,33 +322,63 @@ def judge(records: DataFrame, id: str, source: str, text: str, *, base: float =
     usually_open = (o + 0.2) / (o + c + 0.8)
     # A word that only ends open texts is whole if headlines, texts of one unit, often end with it.
     mid_word = F.col("begins_word") & (known <= 0) & ~((F.col("at_end") >= 3) & (F.col("at_end_alone") >= 0.3 * F.col("at_end")))
-    natural_label = (usually_open >= 0.6) & ~mid_word
     natural_end = (F.col("at_end") >= 3) & (F.col("at_end") >= 9 * F.col("inner")) & ~F.col("begins_word") | F.col("last").contains("urladdress")
     ending = (F.col("inner") + 1.0) / (F.col("final") + F.col("at_end") + 1.0)
-    by_word = F.when(known > 0, F.least(F.lit(2.0), F.greatest(F.lit(-1.0), 0.5 * F.log(ending / 8.0)))).otherwise(0.0)
     unusual = (F.col("o2") >= 8) & (F.col("c2") * 10 <= F.col("o2")) & (F.col("os") * 20 <= F.col("o2"))
-    evidence = (
-        F.when(F.col("loose"), 6.0).otherwise(0.0)
-        + F.when(mid_word, 6.0).otherwise(0.0)
-        + F.when(natural_end, -7.0).when(natural_label, -6.0).otherwise(F.least(F.lit(5.0), -F.log(usually_open)) + by_word)
-        + F.when(unusual, 6.0).otherwise(0.0)
-    )
-    sure = F.when(F.col("kind") == "closed", -9.0).otherwise(9.0)
+    features = {
+        "loose": F.col("loose").cast("int"), "mid_word": mid_word.cast("int"),
+        # How the last unit begins or ends: 0 as open ends do, 1 as open units do, then ever less so.
+        "begins": F.when(natural_end, 0).when((usually_open >= 0.6) & ~mid_word, 1).when(usually_open >= 0.2, 2).when(usually_open >= 0.05, 3).otherwise(4),
+        # Does the last word end sentences, stand in either place, or stand inside only?
+        "word": F.when(known <= 0, 0).when(ending < 3, 1).when(ending < 24, 2).otherwise(3), "unusual": unusual.cast("int"),
+    }
     columns = ["id", "source", "chars", "bytes", "kind"]
-    weighed = seen.select(*columns, evidence.alias("evidence")).unionByName(rows.filter("kind <> 'open'").select(*columns, sure.alias("evidence")))
-    weighed = stage(weighed.withColumn("suspect", (F.col("evidence") > 0) & (F.col("kind") != "broken")), "ending-evidence")
-    at = limits(weighed).filter("is_limit")
-    of = lambda unit: at.filter(F.col("unit") == unit).select("source", F.col("len").alias(unit), F.col("censored").alias(f"by_{unit}"))
-    censored = F.greatest(F.coalesce("by_chars", F.lit(0.0)), F.coalesce("by_bytes", F.lit(0.0)))
-    judged = weighed.join(of("chars"), ["source", "chars"], "left").join(of("bytes"), ["source", "bytes"], "left").withColumn("censored", censored)
-    likely = F.greatest(F.col("censored"), F.lit(base))
-    score = F.when(F.col("kind") == "open", F.log(likely / (1 - likely)) + F.col("evidence")).otherwise(F.col("evidence"))
-    both = judged.withColumn("score", score).withColumn("is_cut", F.col("score") > 0)
-    return both.groupBy("id").agg(F.max_by(F.struct("source", "chars", "kind", "censored", "score", "is_cut"), F.struct("score", "chars")).alias("v")).select("id", "v.*")
+    opened = stage(seen.select(*columns, *[f.alias(n) for n, f in features.items()]), "open-endings")
+    others = rows.filter("kind <> 'open'").select(*columns)
+    # To start from: what hangs loose, breaks off inside a word or has nothing of an ending is suspected.
+    odd = (F.col("loose") == 1) | (F.col("mid_word") == 1) | (F.col("unusual") == 1) | (F.col("begins") >= 3) & (F.col("word") >= 1)
+    suspect, ratios, share, inside, at = odd & (F.col("begins") > 0), [np.zeros(n) for n in FEATURES.values()], base, 0.5, None
+    for _ in range(2):  # lengths and endings are judged by turns
+        guessed = opened.select(*columns, suspect.alias("suspect")).unionByName(others.withColumn("suspect", F.col("kind") == "marked"))
+        at = stage(limits(guessed).filter("is_limit"), "length-limits")
+        # At most as many rows as there are patterns and hundredths.
+        table = (
+            _with_limits(opened.withColumn("suspect", suspect), at, "prior").groupBy(*FEATURES, F.round("prior", 2).alias("prior"))
+            .agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("suspect").cast("double")).alias("first")).toPandas()
+        )
+        if len(table):
+            prior = np.clip(table["prior"].to_numpy(float), 0.01, 0.99)
+            ratios, share, inside = fit_endings(table[[*FEATURES]].to_numpy(np.int64), prior, table["n"].to_numpy(float), table["first"].to_numpy(float))
+        evidence = F.lit(0.0)
+        for n, r in zip(FEATURES, ratios):
+            evidence = evidence + F.element_at(F.array(*[F.lit(float(x)) for x in r]), F.col(n) + 1)
+        suspect = evidence + math.log(share / (1 - share)) > 0
+    # A cut that falls between words falls behind a sentence as often as words end one.
+    ends = word.agg(F.sum("final").alias("f"), F.sum("inner").alias("i")).first()
+    at_end = (1 - inside) * ((ends["f"] or 0) + 1) / ((ends["f"] or 0) + (ends["i"] or 0) + 2)
+    judged = (
+        _with_limits(opened.select(*columns, evidence.alias("evidence")), at, "prior", "censored").withColumn("to_closed", F.lit(None).cast("double"))
+        .unionByName(_with_limits(others.withColumn("evidence", F.lit(None).cast("double")), at, "prior", "censored", "to_closed"))
+    )
+    logit = lambda p: F.log(p / (1 - p))
+    likely = F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.coalesce("prior", F.lit(share))))
+    behind_a_sentence = F.greatest(F.lit(1e-4), F.least(F.lit(0.95), F.coalesce("to_closed", F.lit(0.0)) * at_end / (1 - at_end)))
+    score = F.when(F.col("kind") == "open", logit(likely) + F.col("evidence")).when(F.col("kind") == "closed", logit(behind_a_sentence)).otherwise(9.0)
+    # What ends behind a sentence stops in no word or sentence: it counts in shares as likely as it is cut, and is no case.
+    both = judged.select(
+        "id", "source", "chars", "kind", F.coalesce("censored", F.lit(0.0)).alias("censored"), score.alias("score"), ((score > 0) & (F.col("kind") != "closed")).alias("is_cut")
+    )
+    return both.groupBy("id").agg(F.max_by(F.struct("source", "chars", "kind", "censored", "score", "is_cut"), F.struct("is_cut", "score", "chars")).alias("v")).select("id", "v.*")
 
 
 def shares(judged: DataFrame) -> DataFrame:
-    """(source, n_texts, n_cut, cut_share) of the non-empty texts of each source."""
+    """(source, n_texts, n_cut, cut_share, expected_share) of the non-empty texts of each source.
+
+    expected_share is the mean probability of being cut, in which texts at a limit that happen to end behind a sentence take
+    part.
+    """
+    expected = F.avg(1 / (1 + F.exp(-F.col("score"))))
     return judged.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut"), F.avg(F.col("is_cut").cast("double")).alias("cut_share")
+        F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("is_cut").cast("bigint")).alias("n_cut"), F.avg(F.col("is_cut").cast("double")).alias("cut_share"),
+        F.round(expected, 6).alias("expected_share"),
     )

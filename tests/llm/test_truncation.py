@@ -73,3 +73,45 @@ def test_censored_fit():
 def test_very_long_text(spark):
     df = spark.createDataFrame([("a", "s", "Word one. " * 50_000), ("b", "s", "Word one. " * 50_000 + "and th…")], "id string, source string, summary string")
     assert {r["id"]: r["is_cut"] for r in truncation.judge(df, "id", "source", "summary").collect()} == {"a": False, "b": True}
+
+
+def test_fitted_endings():
+    """Two classes whose features differ are told apart from a rough start; the weights come from the table alone."""
+    r = np.random.default_rng(1)
+    n = 6000
+    cut = r.random(n) < 0.2
+    features = np.stack([
+        r.random(n) < np.where(cut, 0.2, 0.01), r.random(n) < np.where(cut, 0.6, 0.02), np.where(cut, r.choice(5, n, p=[0, 0, 0.1, 0.3, 0.6]), r.choice(5, n, p=[0.3, 0.6, 0.08, 0.01, 0.01])),
+        np.where(cut, r.choice(4, n, p=[0.1, 0.1, 0.3, 0.5]), r.choice(4, n, p=[0.5, 0.3, 0.1, 0.1])), r.random(n) < 0.1,
+    ], axis=1).astype(int)
+    patterns, which, counts = np.unique(features, axis=0, return_inverse=True, return_counts=True)
+    first = ((patterns[:, 1] == 1) | (patterns[:, 2] >= 4)).astype(float)
+    ratios, share, inside = truncation.fit_endings(patterns, np.full(len(patterns), np.nan), counts.astype(float), first)
+    score = np.log(share / (1 - share)) + sum(x[features[:, k]] for k, x in enumerate(ratios))
+    assert abs(share - 0.2) < 0.02 and abs(inside - 0.6) < 0.05 and ((score > 0) == cut).mean() > 0.97 and abs(ratios[4]).max() < 0.5
+
+
+def test_limits_in_both_units(spark):
+    """One source cuts some values at 150 characters and others at 220 bytes; each is a limit of its own."""
+    r = random.Random(9)
+    rows = [("s", len(t), len(t.encode()), "closed", False) for t in (text(r) for _ in range(900))]
+    rows += [("s", 150, 150 + r.randrange(40), "open", True) for _ in range(60)] + [("s", 220 - r.randrange(1, 60), 220, "open", True) for _ in range(60)]
+    df = spark.createDataFrame(rows, "source string, chars int, bytes int, kind string, suspect boolean")
+    found = {(x["unit"], x["len"]): x for x in truncation.limits(df).filter("is_limit").collect()}
+    assert found["chars", 150]["censored"] > 0.9 and found["bytes", 220]["censored"] > 0.9
+
+
+def test_the_length_decides_where_endings_do_not(spark):
+    """Endings that say little are cut at the limit and whole off it; a sentence's end is no case but counts in the share."""
+    data, cut = rows(3)
+    r = random.Random(2)
+    whole = [(f"w{i}", "hard", text(r)[: r.randrange(60, 190)].rsplit(" ", 1)[0]) for i in range(3)]
+    ends = [(f"c{i}", "hard", (text(r) + text(r))[:199].rsplit(" ", 1)[0].rstrip(".").ljust(199, "x") + ".") for i in range(30)]
+    df = spark.createDataFrame(data + whole + ends, "id string, source string, summary string")
+    judged = {x["id"]: x for x in truncation.judge(df, "id", "source", "summary").collect()}
+    assert not any(judged[f"c{i}"]["is_cut"] for i in range(30))
+    at = [x["score"] for x in judged.values() if x["kind"] == "closed" and x["source"] == "hard" and x["chars"] == 200]
+    off = [x["score"] for x in judged.values() if x["kind"] == "closed" and x["source"] == "free"]
+    assert at and min(at) > max(off)
+    share = {x["source"]: x for x in truncation.shares(truncation.judge(df, "id", "source", "summary")).collect()}["hard"]
+    assert share["expected_share"] > share["cut_share"]

@@ -163,13 +163,26 @@ def has_any(haystack: Column, needles: Sequence[str]) -> Column:
 
 
 def lexicon_hits(lowered: Column, terms: Sequence[str]) -> Column:
-    """The terms found, in order: single words between other characters, terms with blanks or punctuation anywhere."""
+    """The terms found, in order: single words between other characters, terms with blanks or punctuation anywhere.
+
+    Single words are looked up among the text's runs of letters, digits and dollar signs, read once, so a lexicon of hundreds
+    costs no more passes than one of three.
+    """
     import re
 
-    found = [
-        F.when(lowered.rlike(f"(^|[^a-z0-9]){re.escape(t)}([^a-z0-9]|$)") if re.fullmatch("[a-z0-9$]+", t) else lowered.contains(t), F.lit(t)) for t in terms
-    ]
-    return F.array_compact(F.array(*found))
+    words = [t for t in terms if re.fullmatch("[a-z0-9]+", t)]
+    priced = [t for t in terms if t not in words and re.fullmatch("[a-z0-9$]+", t)]
+    inside = F.regexp_extract_all(lowered, F.lit("([a-z0-9]+)"), 1)
+
+    def one(found: Column) -> Column:
+        parts = [
+            F.when(F.array_contains(found, t) if t in words else lowered.rlike(f"(^|[^a-z0-9]){re.escape(t)}([^a-z0-9]|$)") if t in priced else lowered.contains(t), F.lit(t))
+            for t in terms
+        ]
+        return F.array_compact(F.array(*parts))
+
+    # Bound once by the lambda, else every term would read the text again.
+    return F.get(F.transform(F.array(inside), one), 0) if terms else F.array().cast("array<string>")
 
 
 def matches_topic(text: Column, include: Sequence[str], exclude: Sequence[str]) -> Column:
@@ -232,16 +245,23 @@ def is_complete(c: Column) -> Column:
     return (v != "") & ~v.rlike(r"(\.\.\.|…)[\"'’”)\]]*$") & bare.rlike(r"[.!?]$") & ~bare.rlike(r"\s[a-z]\.$")
 
 
-#: Patterns of boilerplate, of promotion, and of vague openings.
+_B, _E = "(^|[^a-z0-9_])", "([^a-z0-9_]|$)"
+#: Patterns of addresses and markup, of boilerplate, of promotion, and of vague openings. Word boundaries are
+#: spelled out, so that other engines read them alike; they run on lower-cased text.
 NOISE = (
-    r"https?://\S+|www\.\S+", r"</?[a-z][^>]*>", r"(^|[^a-z0-9_])read (more|the (full|original) article)([^a-z0-9_]|$)", r"(^|[^a-z0-9_])continue reading([^a-z0-9_]|$)",
-    r"(^|[^a-z0-9_])click here([^a-z0-9_]|$)", r"(^|[^a-z0-9_])subscribe([^a-z0-9_]|$)", r"(article|comments) url\s*:", r"(^|[^a-z0-9_])points\s*:\s*[0-9]+",
-    r"all rights reserved", r"follow us (on|for)", r"originally (appeared|published) (at|in|on)", r"sponsored (content|post|by)", r"(buy|shop|order) now",
-    r"(promo|coupon|discount) code", r"limited[- ]time offer", r"(sign|get) up (now|today|for free)", r"brought to you by",
+    r"(https?://|www\.)\S+", _B + r"[a-z0-9]([a-z0-9-]*[a-z0-9])?\.(com|org|net|io|ai|co|app|dev)([/?#]\S*)?[.!?,;:]?\s*$", r"</?[a-z][^>]*>",
+    _B + r"read (more|the (full|original) article)" + _E, _B + "continue reading" + _E, _B + r"the post" + r"([^a-z0-9_]([^a]|a)*[^a-z0-9_]|[^a-z0-9_])" + "appeared first on" + _E,
+    _B + "click here" + _E, _B + "subscribe" + _E, _B + "sign up for (our|the) newsletter" + _E, _B + r"(article|comments) url\s*:", _B + r"points\s*:\s*[0-9]+",
+    _B + "all rights reserved" + _E, _B + "follow us (on|for)" + _E, _B + "originally (appeared|published) (at|in|on)" + _E,
+    _B + "(sponsored content|sponsored post|sponsored by|sponsor message|paid content|paid post|paid partnership|advertorial|advertisement|affiliate links?|buy now|shop now|order now"
+    "|free credits?|use code|promo code|coupon code|discount code|limited[- ]time offer|sign up now|sign up today|sign up for free|subscribe now|brought to you by)" + _E,
+    _B + r"(claim|redeem) (your|the|these)?\s*(free|offer|discount|credits?)" + _E, _B + "(sign|get) up (now|today|for free)" + _E,
+    _B + r"try (it|this|[a-z0-9_]+) (for )?free" + _E, _B + r"get [0-9]+ (in )?free credits?" + _E,
 )
 VAGUE = (
-    r"^(discover|explore|learn|find out|unlock|experience|reimagine|supercharge)([^a-z0-9_]|$)", r"^(this (article|post|story)|in this (article|post|story))([^a-z0-9_]|$)",
-    r"(everything|all|what) you need to know", r"the future is here|game[- ]changer", r"worth (a look|checking out|reading)",
+    "^(discover|explore|learn|find out|unlock|experience|reimagine|supercharge)" + _E,
+    "^(this (article|post|story)|in this (article|post|story)|we (explore|explain|take a look))" + _E,
+    _B + "(everything|all|what) you need to know" + _E, _B + "(the future is here|game[- ]changer|one [a-z0-9_]+ at a time)" + _E, _B + "worth (a look|checking out|reading)" + _E,
 )
 
 
@@ -355,16 +375,36 @@ def publication_info(c: Column) -> Column:
     )
 
 
+#: What is replaced before text is read aloud, in this order.
+SPOKEN = (
+    (r"<[^>]+>", " "), (r"https?://\S+", " "), (r"\b10\.\d{4,9}/\S+", " "), (r"\$[^$]{1,120}\$", " "), (r"\\[a-zA-Z]+\{[^}]*\}", " "), (r"\[[^\]]{0,40}\]", " "), (r"[*_`#|]+", " "),
+    (r"(?i)\bet al\.?", "and colleagues"), (r"(?i)\be\.g\.,?", "for example,"), (r"(?i)\bi\.e\.,?", "that is,"), (r"(?i)\bvs\.?\b", "versus"), ("[“”]", '"'), ("[‘’]", "'"),
+    ("[\u2010\u2011\u2012\u2013\u2014]", "-"), (r"\s-\s", ", "), ("…", " "), (r"\s+", " "), (r"^\s+|\s+$", ""), (r"\s+([,.;:!?])", "$1"), (r"([.,;:!?])\1+", "$1"), (r",\s*([.!?])", "$1"),
+    (r"^[^A-Za-z0-9\"']+", ""),
+)
+
+
 def speakable(c: Column, limit: int = 400) -> Column:
-    """Text for reading aloud: links and markup dropped, symbols as words."""
-    t = F.regexp_replace(text_of(c), r"https?://\S+|www\.\S+", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"<[^>]+>", " "), r"[*_`#>|\[\]{}]", " ")
-    for a, b in (("&", " and "), ("%", " percent"), ("@", " at "), ("+", " plus "), ("=", " equals "), ("~", " about ")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    t = F.regexp_replace(F.regexp_replace(t, r"[–—]", ", "), r"\s+([,.;:!?])", "$1")
-    return clipped(squashed(t), limit)
+    """Text for reading aloud: links, markup and formulas dropped, abbreviations as words, cut before a partial word."""
+    t = text_of(c)
+    for pattern, by in SPOKEN:
+        t = F.regexp_replace(t, pattern, by)
+    return F.trim(F.when(F.length(t) > limit, F.regexp_replace(F.substring(t, 1, limit), r"\s+\S*$", "")).otherwise(t))
 
 
 def without_dangling(c: Column) -> Column:
     """Prepositions and articles at the end dropped, as often as there are some."""
-    return F.trim(F.regexp_replace(text_of(c), r"(?i)(?:[\s,;:-]+(?:of|on|in|for|and|the|at|to|with|by))+[\s,;:-]*$", ""))
+    return F.trim(F.regexp_replace(text_of(c), r"(?i)([\s,]+(of|on|in|for|and|the|to|at|with))+\s*$", ""))
+
+
+def usable_venue(c: Column) -> Column:
+    """A venue fit to be read out; empty if it begins in the middle of a phrase or nothing is left of it."""
+    t = F.trim(text_of(c))
+    rest = without_dangling(t)
+    return F.when(t.rlike("^[a-z]") | (F.length(rest) < 3), "").otherwise(rest)
+
+
+def chunks(values: Column, n: int) -> Column:
+    """An array in groups of n, the last may be smaller."""
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.lit(n))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i, n))

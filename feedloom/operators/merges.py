@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,11 +127,34 @@ MERGE_KEYS = {
 }
 
 
-def write_partitions(df: DataFrame, path: str, by: str, keep_if_empty: bool = True) -> None:
-    """Overwrite only the partitions that df has rows of; an empty run leaves everything as it is."""
+def write_partitions(df: DataFrame, path: str, by: str, keep_if_empty: bool = True, whole: bool = False) -> None:
+    """Overwrite only the partitions that df has rows of; an empty run leaves everything as it is.
+
+    whole: df is the full table, so partitions that it has no rows of are removed, after the others are written.
+    """
     if keep_if_empty and df.isEmpty():
         raise EmptyRun(path)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    if whole:
+        spark = df.sparkSession
+        named = {str(r[0]) for r in df.select(by).distinct().collect()}  # as many as there are partitions
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for x in fs.listStatus(p):
+            folder = x.getPath().getName()
+            if folder.startswith(f"{by}=") and unquote(folder[len(by) + 1 :]) not in named:
+                fs.delete(x.getPath(), True)
+
+
+def key_violations(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """(table, repeated): how many keys each table has more than once; what a unique index would refuse."""
+    from functools import reduce
+
+    counts = [
+        t.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("repeated")).select(F.lit(name).alias("table"), "repeated")
+        for name, (t, key) in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def snapshot_index(df: DataFrame, scope: str, status: str, refreshed: str) -> DataFrame:
@@ -144,16 +168,30 @@ def keep_latest(names: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Write next to the old table, then take its place, so that readers never see half a table."""
+    """Write a new version next to the old ones, then name it in a pointer file, whose replacement is one rename.
+
+    Readers (`swapped`) see the old version whole or the new one whole, whatever fails in between. The version before the
+    last is removed, so a reader that just began can end.
+    """
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    new, old = p.suffix(".new"), p.suffix(".old")
-    for x in (new, old):
-        fs.delete(x, True)
-    df.write.parquet(new.toString())
-    if fs.exists(p):
-        fs.rename(p, old)
-    fs.rename(new, p)
-    fs.delete(old, True)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted(int(x.getPath().getName()[1:]) for x in fs.listStatus(p) if x.getPath().getName().startswith("v")) if fs.exists(p) else []
+    new = (versions[-1] if versions else 0) + 1
+    df.write.parquet(f"{path}/v{new}")
+    pointer, waiting = jvm.org.apache.hadoop.fs.Path(path, "current"), jvm.org.apache.hadoop.fs.Path(path, f"current.{new}")
+    out = fs.create(waiting, True)
+    out.write(bytearray(str(new), "ascii"))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(waiting, pointer, options)
+    for v in versions[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"v{v}"), True)
+
+
+def swapped(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table written by `swap`."""
+    version = spark.read.text(f"{path}/current").first()[0]
+    return spark.read.parquet(f"{path}/v{version}")

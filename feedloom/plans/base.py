@@ -36,7 +36,13 @@ class Registry:
         def add(f: Query) -> Query:
             self.queries[name] = f
             if sql:
-                self.sql[name] = f"WITH {ARTICLES} {sql}" if " a " in f" {sql} " or " a)" in sql else sql
+                uses = " a " in f" {sql} " or " a)" in sql
+                own = sql.lstrip()
+                # A query with its own WITH shares it, recursive or not.
+                for word in ("WITH RECURSIVE ", "WITH "):
+                    if uses and own.startswith(word):
+                        own, uses = f"{word}{ARTICLES}, {own[len(word):]}", False
+                self.sql[name] = f"WITH {ARTICLES} {sql}" if uses else own
             return f
 
         return add

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from feedloom.plans import eventplans, feedplans, problems, texts
+from feedloom.plans import eventplans, feedplans, laneplans, payloads, problems, texts
 
-_PARTS = (texts.query, feedplans.query, eventplans.query)
+_PARTS = (texts.query, feedplans.query, eventplans.query, payloads.query, laneplans.query)
 QUERIES = dict(problems.QUERIES)
 SQL = dict(problems.SQL)
 for _p in _PARTS:

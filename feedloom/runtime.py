@@ -71,15 +71,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir() or own
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/feedloom/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as a parquet table in the shared folder and read it back.
 
     Survives the loss of any executor, unlike a local checkpoint. The folder is removed when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/feedloom/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

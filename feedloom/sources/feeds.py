@@ -274,14 +274,18 @@ def page_image(html: Column, page_url: Column, cap: int = 300_000) -> Column:
 
 
 def article_blocks(documents: DataFrame, key: str, xml: str, chars: int = 120_000, count: int = 160) -> DataFrame:
-    """Typed blocks (heading, paragraph) of a structured article's body, in order, cut off with a flag."""
+    """Typed blocks (heading, paragraph, citation) of a structured article's body, in order, cut off with a flag."""
     from feedloom.operators.documents import cut_off
 
     body = F.regexp_extract(xml, r"(?is)<body\b[^>]*>(.*)</body>", 1)
     parts = F.regexp_extract_all(body, F.lit(r"(?is)(<(?:title|p)\b[^>]*>.*?</(?:title|p)>)"), 1)
     out = documents.select(key, F.posexplode(parts).alias("block_no", "raw"))
-    out = out.select(key, "block_no", F.when(F.lower("raw").startswith("<title"), "heading").otherwise("paragraph").alias("type"), text.sanitized(F.col("raw")).alias("text"))
-    return cut_off(out.filter("text <> ''"), key, "block_no", "text", chars, count)
+    opening = F.regexp_extract("raw", "^(<[^>]*>)", 1)
+    heading = F.lower("raw").startswith("<title")
+    cited = opening.rlike(r"(?i)\b(content-type|specific-use)\s*=\s*[\"'](citation|reference)[\"']")
+    kind = F.when(heading, "heading").when(cited, "citation").otherwise("paragraph")
+    out = out.select(key, "block_no", kind.alias("type"), F.when(heading, text.sanitized(F.col("raw"), 500)).otherwise(text.sanitized(F.col("raw"), 8000)).alias("text"))
+    return cut_off(out.filter(F.length("text") >= 2), key, "block_no", "text", chars, count)
 
 
 def article_authors(xml: Column, most: int = 12) -> Column:

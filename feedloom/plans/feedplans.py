@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import dates, text, urls
 from feedloom.operators import dedup, filters, merges, ranking, resolve, tallies
-from feedloom.plans.base import NOW, Registry, articles, now
-from feedloom.plans.texts import CLASSIFIED, STRICT_SQL, classified, docs, scored
+from feedloom.plans.base import NOW, Registry, articles, now, quoted
+from feedloom.plans.texts import CLASSIFIED, PLAIN_SQL, STRICT_SQL, classified, docs, scored
 from feedloom.plans.texts import _PARTS, _WORLD
 from feedloom.runtime import table
 
@@ -190,7 +190,10 @@ def budget_plan(spark, sf):
     return paid.select("s_suppkey", F.lit(True).alias("paid")).unionByName(rest.select("s_suppkey", F.lit(False).alias("paid")))
 
 
-@query("pooled_pick")
+@query("pooled_pick", """
+WITH p AS (SELECT p_brand, p_partkey, CASE WHEN p_size < 10 THEN 0 WHEN p_size < 20 THEN 1 ELSE 2 END AS preference FROM part),
+g AS (SELECT p_brand, list(p_partkey ORDER BY p_partkey) AS l FROM (SELECT *, min(preference) OVER (PARTITION BY p_brand) AS best FROM p) WHERE preference = best GROUP BY 1)
+SELECT p_brand, l[CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(p_brand, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (h * 31 + x) & 4294967295) % len(l) AS INTEGER) + 1] AS p_partkey FROM g""")
 def pooled_pick(spark, sf):
     part = table(spark, sf, "part")
     pools = part.select("p_brand", F.when(F.col("p_size") < 10, 0).when(F.col("p_size") < 20, 1).otherwise(2).alias("preference"), "p_partkey")
@@ -208,7 +211,20 @@ def dedup_by_fingerprint(spark, sf):
     return dedup.first_per_key(articles(spark, sf).withColumn("f", f), F.nullif("f", F.lit("")), F.col("id")).select("id")
 
 
-@query("dedup_greedy_two_keys")
+_FINGERPRINT_SQL = f"""CASE WHEN len(w) < 3 THEN '' ELSE array_to_string(list_sort(list_distinct(w))[1:8], ' ') END"""
+_KEYED_SQL = f"""SELECT id, regexp_replace(canonical_url, '/$', '') AS link, {_FINGERPRINT_SQL} AS fingerprint, row_number() OVER (ORDER BY id) AS n FROM (
+  SELECT id, canonical_url, list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '),
+    lambda x: length(x) > 2 AND x NOT IN ({quoted(text.FINGERPRINT_STOP)})) AS w FROM a )"""
+
+
+# The rule as it is stated: one record after the other, with what was accepted so far.
+@query("dedup_greedy_two_keys", f"""
+WITH RECURSIVE o AS ({_KEYED_SQL}), -- A key that only one record has can neither reject nor be rejected.
+h AS MATERIALIZED (SELECT n, id, hash(link) AS k, link IS NULL OR count(*) OVER (PARTITION BY link) = 1 AS nk, hash(fingerprint) AS f, fingerprint = '' OR count(*) OVER (PARTITION BY fingerprint) = 1 AS nf FROM o),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, [CAST(0 AS UBIGINT)] AS ks, [CAST(0 AS UBIGINT)] AS fs, false AS ok
+  UNION ALL SELECT h.n, h.id, CASE WHEN h.accept AND NOT h.nk THEN list_append(h.ks, h.k) ELSE h.ks END, CASE WHEN h.accept AND NOT h.nf THEN list_append(h.fs, h.f) ELSE h.fs END, h.accept
+  FROM (SELECT h.*, r.ks, r.fs, (h.nk OR NOT list_contains(r.ks, h.k)) AND (h.nf OR NOT list_contains(r.fs, h.f)) AS accept FROM r JOIN h ON h.n = r.n + 1) h)
+SELECT id FROM r WHERE ok""")
 def dedup_greedy_two_keys(spark, sf):
     a = articles(spark, sf).select("id", urls.without_slash(F.col("canonical_url")).alias("link"), text.title_fingerprint(F.col("title")).alias("fingerprint"))
     return dedup.greedy_two_keys(a, F.col("id"), F.col("link"), F.col("fingerprint")).select("id")
@@ -229,7 +245,19 @@ def preprint_pools(spark, sf):
     return dedup.first_per_key(a, F.col("link"), F.col("id")).select("link", "id")
 
 
-@query("resolved_works")
+# One record after the other: the first key that is known decides, and an unknown one becomes an alias of the same work.
+@query("resolved_works", f"""
+WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY coalesce(topic, '') ORDER BY id) AS n, hash(canonical_url) AS k1, CASE WHEN t <> '' THEN hash(t || '#') END AS k2
+  FROM (SELECT *, substr({PLAIN_SQL.format("coalesce(title, '')")}, 1, 90) AS t FROM a )),
+h AS MATERIALIZED (SELECT coalesce(topic, '') AS scope, n, id, CASE WHEN canonical_url IS NULL THEN NULL ELSE k1 END AS k1, k2 FROM o),
+r AS (SELECT DISTINCT scope, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, [CAST(0 AS UBIGINT)] AS ks, [CAST(0 AS BIGINT)] AS es, CAST(0 AS BIGINT) AS e FROM h
+  UNION ALL SELECT scope, n, id, list_concat(ks, list_filter([CASE WHEN NOT coalesce(list_contains(ks, k1), true) THEN k1 END, CASE WHEN NOT coalesce(list_contains(ks, k2), true) AND k2 IS DISTINCT FROM k1 THEN k2 END], lambda x: x IS NOT NULL)),
+    list_concat(es, list_filter([CASE WHEN NOT coalesce(list_contains(ks, k1), true) THEN e END, CASE WHEN NOT coalesce(list_contains(ks, k2), true) AND k2 IS DISTINCT FROM k1 THEN e END], lambda x: x IS NOT NULL)), e
+  FROM (SELECT h.*, r.ks, r.es, coalesce(r.es[nullif(list_position(r.ks, h.k1), 0)], r.es[nullif(list_position(r.ks, h.k2), 0)], h.n) AS e FROM r JOIN h ON h.scope = r.scope AND h.n = r.n + 1)),
+m AS (SELECT r.scope, r.e, o.* FROM r JOIN o ON o.id = r.id),
+v AS (SELECT scope, e, string_agg(provider, ',' ORDER BY first) AS providers FROM (SELECT scope, e, provider, min(id) AS first FROM m WHERE provider IS NOT NULL GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT min(m.id) AS id, arg_min(title, m.id) AS title, max(greatest(coalesce(citations, 0), 0)) AS citations, arg_min(published_year, m.id) FILTER (published_year IS NOT NULL) AS published_year,
+  length(first(summary ORDER BY length(coalesce(summary, '')) DESC, m.id)) AS summary_length, any_value(v.providers) AS providers FROM m LEFT JOIN v ON v.scope = m.scope AND v.e = m.e GROUP BY m.scope, m.e""")
 def resolved_works(spark, sf):
     a = articles(spark, sf).select("*", F.col("canonical_url").alias("k1"), text.title_key(F.col("title")).alias("k2"))
     entities = resolve.resolve(a, "topic", "id", "k1", "k2")

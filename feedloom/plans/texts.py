@@ -42,7 +42,9 @@ def rolling_hashes(spark, sf):
     return docs(spark, sf).filter("url <> ''").select("doc_id", hashing.hash33(F.col("url")).alias("h33"), hashing.hue(F.col("url")).alias("hue"))
 
 
-@query("short_ids")
+@query("short_ids", """
+SELECT doc_id, CASE WHEN coalesce(url, '') = '' THEN lower(to_base(5381, 36)) ELSE lower(to_base(list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(url, ''), lambda x: CAST(unicode(x) AS BIGINT))),
+  lambda h, x: xor(h * 33, x) & 4294967295), 36)) END AS short_id FROM documents""")
 def short_ids(spark, sf):
     return docs(spark, sf).select("doc_id", hashing.short_id(F.col("url")).alias("short_id"))
 
@@ -112,7 +114,20 @@ def summary_gate(spark, sf):
     )
 
 
-@query("extractive_summaries")
+_PIECES_SQL = "list_filter(regexp_extract_all(v, '([^.!?]*[.!?]+[\"''’”)\\]]*)(?:\\s+|$)', 1), lambda x: true)"
+
+
+@query("extractive_summaries", f"""
+WITH p AS (SELECT id, title, CASE WHEN is_paper THEN 360 ELSE 300 END AS cap, {_PIECES_SQL} AS pieces FROM (SELECT *, trim(regexp_replace(coalesce(summary, ''), '\\s+', ' ', 'g')) AS v FROM a )),
+s AS (SELECT id, title, i, trim(x) AS v FROM (SELECT id, title, unnest(pieces) AS x, unnest(range(len(pieces))) AS i FROM p)),
+j AS (SELECT id, i, v, {_COMPLETE_SQL} AND NOT {_NOISE_SQL} AND NOT {_VAGUE_SQL} AND len(regexp_extract_all(v, '([A-Za-z0-9]+([''’][A-Za-z0-9]+)*)', 1)) >= 5
+    AND NOT (pt <> '' AND (pt = pv OR (len(t) >= 3 AND len(s) > 0 AND len(list_intersect(t, s)) / greatest(len(t), 1) >= 0.8
+      AND (len(list_intersect(t, s)) / greatest(len(list_distinct(list_concat(t, s))), 1) >= 0.78 OR len(s) - len(list_intersect(t, s)) <= 1)))) AS ok
+  FROM (SELECT *, {_tokens_sql('title')} AS t, {_tokens_sql('v')} AS s, trim(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', ' ', 'g')) AS pt, trim(regexp_replace(lower(v), '[^a-z0-9]+', ' ', 'g')) AS pv FROM s)),
+l AS (SELECT id, list({{'text': v, 'n': CAST(ok AS INTEGER), 'done': false}} ORDER BY i) AS xs, arg_min(v, i) FILTER (length(v) >= 40) AS lead FROM j GROUP BY id)
+SELECT p.id, coalesce(list_reduce(list_prepend({{'text': '', 'n': 0, 'done': false}}, xs), lambda acc, x: CASE WHEN acc.done OR x.n = 0 THEN acc
+    WHEN length(CASE WHEN acc.n = 0 THEN x.text ELSE acc.text || ' ' || x.text END) <= cap THEN {{'text': CASE WHEN acc.n = 0 THEN x.text ELSE acc.text || ' ' || x.text END, 'n': acc.n + 1, 'done': acc.n + 1 >= 2}}
+    ELSE {{'text': acc.text, 'n': acc.n, 'done': acc.n > 0}} END).text, '') AS short, lead FROM p LEFT JOIN l USING (id)""")
 def extractive_summaries(spark, sf):
     cap = F.when(F.col("is_paper"), 360).otherwise(300)
     return articles(spark, sf).select("id", text.extractive_summary(F.col("summary"), F.col("title"), cap).alias("short"), text.lead_sentence(F.col("summary")).alias("lead"))
@@ -316,7 +331,27 @@ def post_scores(spark, sf):
     return articles(spark, sf).select("id", v["score"].alias("score"), scoring.sentiment_label(s).alias("tone"))
 
 
-@query("post_verdicts")
+def _found_sql(terms) -> str:
+    """The terms found, in order."""
+    import re
+
+    one = lambda t: f"regexp_matches(t, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')" if re.fullmatch("[a-z0-9$]+", t) else f"contains(t, '{t}')"
+    return "list_filter([" + ", ".join(f"CASE WHEN {one(t)} THEN '{t}' END" for t in terms) + "], lambda x: x IS NOT NULL)"
+
+
+_LEXICA = (("b", BANTER, "casual tone"), ("n", ANNOUNCE, "announcement language"), ("k", TECH, "tech substance"), ("m", BUSINESS, "business signal"))
+_REASONS_SQL = "array_to_string(list_filter([CASE WHEN score >= 55 THEN 'report-worthy' END, CASE WHEN len < 25 THEN 'very short' END, " + ", ".join(
+    f"CASE WHEN len({c}) > 0 THEN '{name} (' || array_to_string({c}[1:3], ', ') || ')' END" for c, _, name in _LEXICA) + ", CASE WHEN metric THEN 'concrete metrics' END], lambda x: x IS NOT NULL), '; ')"
+
+
+@query("post_verdicts", f"""
+SELECT id, score >= 55 AS worthy, CASE WHEN len(m) > 0 AND regexp_matches(t, '(^|[^a-z0-9_])(rais|fund|valuation|ipo|acqui|million|billion)([^a-z0-9_]|$)') THEN 'Funding & deals'
+  WHEN regexp_matches(t, '(^|[^a-z0-9_])(research|paper|preprint|benchmark|sota|reasoning|training)([^a-z0-9_]|$)') THEN 'Research' WHEN len(n) > 0 AND len(k) > 0 THEN 'Product launch'
+  WHEN len(n) > 0 THEN 'Announcement' WHEN len(k) > 0 THEN 'Product' ELSE 'Commentary' END AS category, {_REASONS_SQL} AS reasons
+FROM (SELECT *, greatest(0, least(100, 30 + CASE WHEN len < 25 THEN -22 WHEN len > 90 THEN 6 ELSE 0 END - 12 * least(len(b), 3) + CASE WHEN len(n) > 0 THEN 22 + 8 * least(len(n) - 1, 3) ELSE 0 END
+    + CASE WHEN len(k) > 0 THEN 10 + 5 * least(len(k) - 1, 4) ELSE 0 END + CASE WHEN len(m) > 0 THEN 14 + 6 * least(len(m) - 1, 3) ELSE 0 END + CASE WHEN metric THEN 8 ELSE 0 END)) AS score
+  FROM (SELECT id, t, length(trim(r)) AS len, {", ".join(f"{_found_sql(terms)} AS {c}" for c, terms, _ in _LEXICA)}, {_METRIC_SQL} AS metric
+    FROM (SELECT id, coalesce(summary, '') AS r, lower(trim(regexp_replace(coalesce(summary, ''), '\\s+', ' ', 'g'))) AS t FROM a )))""")
 def post_verdicts(spark, sf):
     v = scoring.newsworthiness(F.col("summary"), banter=BANTER, announce=ANNOUNCE, tech=TECH, business=BUSINESS)
     return articles(spark, sf).select("id", v.alias("v")).select("id", "v.worthy", "v.category", F.array_join("v.reasons", "; ").alias("reasons"))
@@ -382,7 +417,7 @@ def aliases(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", hashing.alias_number(F.col("c_name")).alias("alias"), hashing.opaque_id(F.col("c_name")).alias("opaque"))
 
 
-@query("embedded_objects")
+@query("embedded_objects", "SELECT doc_id, text AS t FROM documents")
 def embedded_objects(spark, sf):
     page = F.concat(F.lit("<script>var data = "), F.to_json(F.struct("doc_id", F.col("text").alias("t"))), F.lit(";</script>"))
     return docs(spark, sf).select("doc_id", feeds.embedded_json(page, "var data").alias("j")).select("doc_id", F.get_json_object("j", "$.t").alias("t"))

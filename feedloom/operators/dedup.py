@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.runtime import stage
+from feedloom.runtime import release, stage
 
 
-def greedy_two_keys(df: DataFrame, order: Column, key: Column, fingerprint: Column, max_rounds: int = 1000) -> DataFrame:
+def greedy_two_keys(df: DataFrame, order: Column, key: Column, fingerprint: Column) -> DataFrame:
     """Rows whose key, and whose non-empty fingerprint, no earlier accepted row has. A rejected row registers nothing.
 
     In each round the undecided rows that come first under both their keys are accepted, and those that share a key or
@@ -20,17 +20,18 @@ def greedy_two_keys(df: DataFrame, order: Column, key: Column, fingerprint: Colu
     second = F.coalesce(F.concat(F.lit("f"), F.nullif(fingerprint.cast("string"), F.lit(""))), F.concat(F.lit("o"), order.cast("string")))
     keyed = stage(df.select(order.alias("__o"), first.alias("__k"), second.alias("__f")), "dedup-keys")
     todo, accepted = keyed, None
-    for _ in range(max_rounds):
+    while True:
         by_k = todo.groupBy("__k").agg(F.min("__o").alias("__mk"))
         by_f = todo.groupBy("__f").agg(F.min("__o").alias("__mf"))
         marked = todo.join(by_k, "__k").join(by_f, "__f")
         new = stage(marked.filter((F.col("__o") == F.col("__mk")) & (F.col("__o") == F.col("__mf"))).select("__o", "__k", "__f"), "dedup-accepted")
         accepted = new if accepted is None else accepted.unionByName(new)
-        todo = stage(todo.join(new.select("__k"), "__k", "left_anti").join(new.select("__f"), "__f", "left_anti"), "dedup-open")
+        old, todo = todo, stage(todo.join(new.select("__k"), "__k", "left_anti").join(new.select("__f"), "__f", "left_anti"), "dedup-open")
+        release(old)
         if todo.isEmpty():
             break
-    else:
-        raise RuntimeError("rows stay undecided; is the order unique?")
+        if new.isEmpty():
+            raise ValueError("rows stay undecided: the order is not unique")
     return df.withColumn("__o", order).join(accepted.select("__o"), "__o", "left_semi").drop("__o")
 
 

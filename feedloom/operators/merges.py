@@ -83,8 +83,8 @@ def pruned(cache: DataFrame, live: DataFrame, key: str, stored_at: Column, now:
     marked = cache.join(live.select(key).distinct().withColumn("__live", F.lit(True)), key, "left")
     keep = F.col("__live").isNotNull() | (stored_at >= now - F.make_dt_interval(F.lit(days)))
     if only_above is not None:
-        total = cache.agg(F.count(F.lit(1)).alias("__total"))
-        return marked.join(F.broadcast(total)).filter((F.col("__total") <= only_above) | F.col("__live").isNotNull()).drop("__live", "__total")
+        total = cache.agg(F.count(F.lit(1)).alias("n"))
+        return marked.filter((total.scalar() <= only_above) | F.col("__live").isNotNull()).drop("__live")
     return marked.filter(keep).drop("__live")
 
 

@@ -37,6 +37,8 @@ def resolve(df: DataFrame, scope: str, order: str, first_key: str, second_key: s
     keyed = df.withColumn("__n", F.concat_ws("\u0001", F.lit("r"), F.col(scope), F.col(order).cast("string")))
     keys = lambda c, t: F.when(F.col(c).isNotNull(), F.concat_ws("\u0001", F.lit(t), F.col(scope), F.col(c)))
     edges = keyed.select("__n", F.explode(F.array_compact(F.array(keys(first_key, "a"), keys(second_key, "b")))).alias("__k")).select(F.col("__n").alias("a"), F.col("__k").alias("b"))
+    # A key of a single record connects nothing.
+    edges = edges.join(edges.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("b"), "b", "left_semi").select("a", "b")
     of = components(edges)
     joined = keyed.join(of.withColumnRenamed("node", "__n"), "__n", "left").withColumn("__c", F.coalesce("component", "__n"))
     # A record that no key connects to another is its own entity; only the others go to Python.

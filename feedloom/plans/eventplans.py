@@ -178,7 +178,7 @@ def user_board(spark, sf):
     # The first hundred by a top-k with ties: the hundredth value bounds the rows that a single window sees.
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     least = c.orderBy(F.desc("c_acctbal")).limit(100).agg(F.min("c_acctbal").alias("least"))
-    best = c.join(F.broadcast(least), F.col("c_acctbal") >= F.col("least"))
+    best = c.filter(F.col("c_acctbal") >= least.scalar())
     return best.withColumn("rank", F.rank().over(Window.orderBy(F.desc("c_acctbal")))).filter("rank <= 100").select("c_custkey", "rank")
 
 
@@ -207,10 +207,9 @@ def spark_series(spark, sf):
     return s.select("model", line.alias("line"), series.delta(F.col("series"), F.lit(35000.0)).alias("delta"))
 
 
-@query("reading_growth", f"SELECT model, date, floor((score - lag(score) OVER (PARTITION BY model ORDER BY date)) * 100 + 0.5) / 100 AS growth FROM {_BOARD} WHERE {_WEEK}")
+@query("reading_growth", f"SELECT model, date, floor((score - lag(score) OVER (PARTITION BY model ORDER BY date)) * 100 + 0.5) / 100 AS growth FROM {_BOARD}")
 def reading_growth(spark, sf):
-    week = board(spark, sf).filter(F.col("date").between(F.lit("1998-03-01").cast("date"), F.lit("1998-03-07").cast("date")))
-    return series.growth(week, "model", "date", "score").select("model", "date", (F.floor(F.col("growth") * 100 + 0.5) / 100).alias("growth"))
+    return series.growth(board(spark, sf), "model", "date", "score").select("model", "date", (F.floor(F.col("growth") * 100 + 0.5) / 100).alias("growth"))
 
 
 @query("as_of_value", "SELECT v.event_id, (SELECT arg_max(p.value, (p.ts, p.event_id)) FROM events p WHERE p.user_id = v.user_id AND p.event_type = 'purchase' AND p.ts <= v.ts) AS value FROM events v WHERE v.event_type = 'view'")
@@ -220,18 +219,23 @@ def as_of_value(spark, sf):
     return series.as_of(left, e.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("at"), "value"), "user_id", "ts", "at", "value").select("event_id", "value")
 
 
+LENSES = tuple(f"lens_{x}" for x in "abcdef")
+
+
 @query("lens_board", """
 WITH m AS (SELECT p_brand AS model, floor(CAST(sum(CAST(p_retailprice AS DECIMAL(18, 4))) AS DOUBLE) * 100 + 0.5) / 100 AS score FROM part GROUP BY 1),
-     b AS (SELECT p_brand AS model, p_type AS lens, arg_min(p_retailprice, p_partkey) AS s FROM part WHERE p_size < 5 GROUP BY 1, 2), t AS (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 2)
-SELECT m.model, m.score, coalesce((SELECT s FROM b WHERE b.model = m.model AND lens = (SELECT min(p_type) FROM t)), m.score) AS lens_a, coalesce((SELECT s FROM b WHERE b.model = m.model AND lens = (SELECT max(p_type) FROM t)), m.score) AS lens_b FROM m""")
+     t AS (SELECT p_type, row_number() OVER (ORDER BY p_type) AS k FROM (SELECT DISTINCT p_type FROM part)),
+     b AS (SELECT p_brand AS model, k, arg_min(p_retailprice, p_partkey) AS s FROM part JOIN t USING (p_type) GROUP BY 1, 2)
+SELECT m.model, m.score, """ + ", ".join(f"coalesce((SELECT s FROM b WHERE b.model = m.model AND k = {i + 1}), m.score) AS {name}" for i, name in enumerate(LENSES)) + " FROM m")
 def lens_board(spark, sf):
+    """Every board is a lens, named in the order of the boards' names."""
     p = table(spark, sf, "part")
     total = F.sum(F.col("p_retailprice").cast("decimal(18,4)")).cast("double")
     models = p.groupBy(F.col("p_brand").alias("model")).agg((F.floor(total * 100 + 0.5) / 100).alias("score"))
-    kinds = sorted(r[0] for r in p.select("p_type").distinct().collect())[:2]  # a handful of board names
-    boards = p.filter("p_size < 5").select(F.col("p_brand").alias("model"), F.col("p_type").alias("lens"), F.col("p_retailprice").alias("score"), F.col("p_partkey").alias("rank"))
-    boards = boards.withColumn("lens", F.when(F.col("lens") == kinds[0], "lens_a").when(F.col("lens") == kinds[1], "lens_b"))
-    return series.lens_board(models, boards.filter("lens is not null"), "model", "lens", "score", "rank", ["lens_a", "lens_b"])
+    kinds = p.select("p_type").distinct().withColumn("k", F.row_number().over(Window.orderBy("p_type")))  # a handful of board names
+    named = kinds.select("p_type", F.get(F.array(*map(F.lit, LENSES)), F.col("k") - 1).alias("lens"))
+    boards = p.join(named, "p_type").select(F.col("p_brand").alias("model"), "lens", F.col("p_retailprice").alias("score"), F.col("p_partkey").alias("rank"))
+    return series.lens_board(models, boards, "model", "lens", "score", "rank", list(LENSES))
 
 
 # --- documents ---------------------------------------------------------------------------------------------------------------

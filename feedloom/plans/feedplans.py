@@ -21,8 +21,9 @@ HAY = "lower(concat_ws(' ', title, summary, author, source, array_to_string(cate
 
 @query("feed_search", f"SELECT id, title FROM a WHERE contains({HAY}, 'muscle') OR contains({HAY}, 'tendón')")
 def feed_search(spark, sf):
-    a = articles(spark, sf)
-    return filters.feed(a, q="muscle").unionByName(filters.feed(a, q="tendón")).select("id", "title").distinct()
+    hay = [F.col(c) for c in ("title", "summary", "author", "source")] + [F.array_join("categories", " ")]
+    either = filters.contains_text("muscle", *hay) | filters.contains_text("tendón", *hay)
+    return articles(spark, sf).filter(either).select("id", "title")
 
 
 @query("feed_keywords_and", "SELECT id FROM a WHERE list_contains(list_transform(categories, lambda x: lower(x)), 'fitness') AND list_contains(list_transform(categories, lambda x: lower(x)), 'research')")
@@ -232,10 +233,10 @@ def dedup_greedy_two_keys(spark, sf):
 
 @query("union_first_wins", """
 SELECT doc_id, tier FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier) AS k FROM (
-  SELECT doc_id, 0 AS tier FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 2 FROM documents WHERE topic IS NOT NULL)) WHERE k = 1""")
+  SELECT doc_id, 0 AS tier FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, 1 FROM documents WHERE url IS NOT NULL UNION ALL SELECT doc_id, 2 FROM documents)) WHERE k = 1""")
 def union_first_wins(spark, sf):
     d = docs(spark, sf)
-    parts = [d.filter(c).select("doc_id", F.lit(i).alias("tier")) for i, c in enumerate(("lang = 'de'", "doc_id % 3 = 0", "topic is not null"))]
+    parts = [d.filter(c).select("doc_id", F.lit(i).alias("tier")) for i, c in enumerate(("lang = 'de'", "url is not null", "true"))]
     return dedup.union_first_wins(parts, "doc_id", "tier").select("doc_id", "tier")
 
 
@@ -267,52 +268,67 @@ def resolved_works(spark, sf):
 # --- stored tables -------------------------------------------------------------------------------------------------------------
 
 
+#: Splits the deliveries in time: what is stored, and what came in later.
+LATER = "2026-03-01"
+
+
+def _later(c: str = "fetched_at"):
+    return F.col(c) >= F.lit(LATER).cast("timestamp_ntz")
+
+
 def _old_and_new(spark, sf):
+    """All customers in credit as stored, and all with orders as they come in."""
     c = table(spark, sf, "customer")
-    old = c.filter("c_custkey % 3 <> 0").select("c_custkey", "c_acctbal", F.lit("2026-01-01").cast("timestamp_ntz").alias("first_seen_at"))
-    new = c.filter("c_custkey % 2 = 0").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
-    return old, new
+    old = c.filter("c_acctbal >= 0").select("c_custkey", "c_acctbal", F.lit("2026-01-01").cast("timestamp_ntz").alias("first_seen_at"))
+    buying = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return old, c.join(buying, "c_custkey", "left_semi").select("c_custkey", (F.col("c_acctbal") + 1).alias("c_acctbal"))
+
+
+_OLD, _NEW = "(SELECT * FROM customer WHERE c_acctbal >= 0)", "(SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))"
 
 
 @query("upsert_first_seen", f"""
 SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN n.c_custkey IS NOT NULL THEN n.c_acctbal + 1 ELSE o.c_acctbal END AS c_acctbal, CASE WHEN o.c_custkey IS NOT NULL THEN TIMESTAMP '2026-01-01' ELSE {N} END AS first_seen_at
-FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) o FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) n USING (c_custkey)""")
+FROM {_OLD} o FULL OUTER JOIN {_NEW} n USING (c_custkey)""")
 def upsert_first_seen(spark, sf):
     old, new = _old_and_new(spark, sf)
     return merges.upsert(old, new, ["c_custkey"], now=now())
 
 
-@query("upsert_counts", "SELECT count(*) FILTER (c_custkey % 3 <> 0) AS matched, count(*) FILTER (c_custkey % 3 = 0) AS inserted FROM customer WHERE c_custkey % 2 = 0")
+@query("upsert_counts", f"SELECT count(*) FILTER (c_acctbal >= 0) AS matched, count(*) FILTER (c_acctbal < 0) AS inserted FROM {_NEW}")
 def upsert_counts(spark, sf):
     return merges.upsert_counts(*_old_and_new(spark, sf), ["c_custkey"])
 
 
-@query("better_versions", """
-WITH p AS (SELECT source AS k, count(*) AS count, CASE WHEN count(*) % 2 = 0 THEN 'ok' ELSE 'partial' END AS status FROM documents WHERE source IS NOT NULL AND doc_id % 2 = 0 GROUP BY 1),
-     q AS (SELECT source AS k, count(*) AS count, CASE WHEN count(*) % 3 = 0 THEN 'ok' ELSE 'partial' END AS status FROM documents WHERE source IS NOT NULL AND doc_id % 3 = 0 GROUP BY 1)
+@query("better_versions", f"""
+WITH p AS (SELECT source AS k, count(*) AS count, CASE WHEN count(*) % 2 = 0 THEN 'ok' ELSE 'partial' END AS status FROM documents WHERE source IS NOT NULL AND NOT fetched_at >= TIMESTAMP '{LATER}' GROUP BY 1),
+     q AS (SELECT source AS k, count(*) AS count, CASE WHEN count(*) % 3 = 0 THEN 'ok' ELSE 'partial' END AS status FROM documents WHERE source IS NOT NULL AND fetched_at >= TIMESTAMP '{LATER}' GROUP BY 1)
 SELECT coalesce(p.k, q.k) AS k, CASE WHEN w THEN q.count ELSE p.count END AS count, CASE WHEN w THEN q.status ELSE p.status END AS status
 FROM (SELECT *, q.k IS NOT NULL AND (p.k IS NULL OR (q.status = 'ok' AND p.status <> 'ok') OR ((q.status = 'ok') = (p.status = 'ok') AND q.count >= p.count)) AS w FROM p FULL OUTER JOIN q ON p.k = q.k) t(pk, pc, ps, qk, qc, qs, w)
 JOIN LATERAL (SELECT pk AS k, pc AS count, ps AS status) p ON true JOIN LATERAL (SELECT qk AS k, qc AS count, qs AS status) q ON true""")
 def better_versions(spark, sf):
+    """Of each source's earlier and later run, the better one."""
     d = docs(spark, sf).filter("source is not null")
 
-    def run(k: int):
+    def run(rows, k: int):
         n = F.count(F.lit(1))
-        return d.filter(F.col("doc_id") % k == 0).groupBy(F.col("source").alias("k")).agg(n.alias("count"), F.when(n % k == 0, "ok").otherwise("partial").alias("status"))
+        return rows.groupBy(F.col("source").alias("k")).agg(n.alias("count"), F.when(n % k == 0, "ok").otherwise("partial").alias("status"))
 
-    return merges.better_version(run(2), run(3), "k")
+    return merges.better_version(run(d.filter(~_later()), 2), run(d.filter(_later()), 3), "k")
 
 
-@query("replace_scopes", "SELECT doc_id, lang, 0 AS version FROM documents WHERE lang NOT IN ('de', 'fr') UNION ALL SELECT doc_id, lang, 1 FROM documents WHERE lang IN ('de', 'fr') AND doc_id % 2 = 0")
+@query("replace_scopes", f"SELECT doc_id, lang, 0 AS version FROM documents WHERE lang NOT IN ('de', 'fr') UNION ALL SELECT doc_id, lang, 1 FROM documents WHERE lang IN ('de', 'fr') AND fetched_at >= TIMESTAMP '{LATER}'")
 def replace_scopes(spark, sf):
-    d = docs(spark, sf).filter("lang is not null").select("doc_id", "lang")
-    return merges.replace_scopes(d.withColumn("version", F.lit(0)), d.filter("lang in ('de', 'fr') and doc_id % 2 = 0").withColumn("version", F.lit(1)), "lang")
+    d = docs(spark, sf).filter("lang is not null").select("doc_id", "lang", "fetched_at")
+    new = d.filter(F.col("lang").isin("de", "fr") & _later()).drop("fetched_at").withColumn("version", F.lit(1))
+    return merges.replace_scopes(d.drop("fetched_at").withColumn("version", F.lit(0)), new, "lang")
 
 
-@query("live_over_stored", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'live' ELSE 'stored' END AS origin FROM documents WHERE doc_id % 5 = 0 OR doc_id % 2 = 0")
+@query("live_over_stored", f"SELECT doc_id, CASE WHEN fetched_at >= TIMESTAMP '{LATER}' THEN 'live' ELSE 'stored' END AS origin FROM documents")
 def live_over_stored(spark, sf):
-    d = docs(spark, sf).select("doc_id")
-    return merges.live_over_stored(d.filter("doc_id % 2 = 0").withColumn("origin", F.lit("stored")), d.filter("doc_id % 5 = 0").withColumn("origin", F.lit("live")), "doc_id", "doc_id").select("doc_id", "origin")
+    d = docs(spark, sf)
+    live = d.filter(_later()).select("doc_id", F.lit("live").alias("origin"))
+    return merges.live_over_stored(d.select("doc_id", F.lit("stored").alias("origin")), live, "doc_id", "doc_id").select("doc_id", "origin")
 
 
 @query("departed_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
@@ -326,16 +342,16 @@ def erased_user(spark, sf):
     return merges.erased({"events": e, "clicks": e.filter("event_type = 'click'")}, "user_id", "7")[1]
 
 
-@query("pruned_cache", f"SELECT doc_id FROM documents WHERE doc_id % 4 = 0 OR fetched_at >= {N} - INTERVAL 10 DAY")
+@query("pruned_cache", f"SELECT doc_id FROM documents WHERE lang = 'en' OR fetched_at >= {N} - INTERVAL 10 DAY")
 def pruned_cache(spark, sf):
     d = docs(spark, sf)
-    return merges.pruned(d, d.filter("doc_id % 4 = 0"), "doc_id", F.col("fetched_at"), now(), 10).select("doc_id")
+    return merges.pruned(d, d.filter("lang = 'en'"), "doc_id", F.col("fetched_at"), now(), 10).select("doc_id")
 
 
-@query("size_pruned_cache", "SELECT doc_id FROM documents WHERE (SELECT count(*) FROM documents) <= 250 OR doc_id % 4 = 0")
+@query("size_pruned_cache", "SELECT doc_id FROM documents WHERE (SELECT count(*) FROM documents) <= 250 OR lang = 'en'")
 def size_pruned_cache(spark, sf):
     d = docs(spark, sf)
-    return merges.pruned(d, d.filter("doc_id % 4 = 0"), "doc_id", F.col("fetched_at"), now(), only_above=250).select("doc_id")
+    return merges.pruned(d, d.filter("lang = 'en'"), "doc_id", F.col("fetched_at"), now(), only_above=250).select("doc_id")
 
 
 @query("enrichment_overlay", "SELECT a.id, coalesce(nullif(a.venue, ''), nullif(c.venue, '')) AS venue FROM a LEFT JOIN (SELECT id, publisher AS venue FROM a WHERE source_id = 'openshelf') c ON a.id = c.id")
@@ -351,12 +367,12 @@ def pending_work(spark, sf):
 
 
 @query("saved_toggles", """
-WITH t AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT DISTINCT user_id, event_type FROM events WHERE user_id % 2 = 0)
-SELECT user_id, event_type FROM (SELECT user_id, event_type, n % 2 = 1 AS flip, user_id % 2 = 0 AS was FROM t) WHERE flip <> was""")
+WITH t AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), s AS (SELECT DISTINCT user_id, event_type FROM events WHERE value > 90)
+SELECT user_id, event_type FROM (SELECT t.*, n % 2 = 1 AS flip, s.user_id IS NOT NULL AS was FROM t LEFT JOIN s USING (user_id, event_type)) WHERE flip <> was""")
 def saved_toggles(spark, sf):
-    e = table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    saved = e.filter("user_id % 2 = 0").select("user_id", "event_type").distinct()
-    return merges.toggled(saved, e, ["user_id", "event_type"], "event_id")
+    e = table(spark, sf, "events").select("user_id", "event_type", "event_id", "value")
+    saved = e.filter("value > 90").select("user_id", "event_type").distinct()
+    return merges.toggled(saved, e.drop("value"), ["user_id", "event_type"], "event_id")
 
 
 @query("daily_readings", "SELECT user_id, CAST(ts AS DATE) AS date, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")

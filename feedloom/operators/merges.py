@@ -168,9 +168,28 @@ def keep_latest(names: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Write next to the old table, then take its place: readers never see half a table.
+
+    The place is taken by two renames, between which there is no table; `publish` has no such moment.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    new, old = p.suffix(".new"), p.suffix(".old")
+    for x in (new, old):
+        fs.delete(x, True)
+    df.write.parquet(new.toString())
+    if fs.exists(p):
+        fs.rename(p, old)
+    fs.rename(new, p)
+    fs.delete(old, True)
+
+
+def publish(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Write a new version next to the old ones, then name it in a pointer file, whose replacement is one rename.
 
-    Readers (`swapped`) see the old version whole or the new one whole, whatever fails in between. The version before the
+    Readers (`published`) see the old version whole or the new one whole, whatever fails in between. The version before the
     last is removed, so a reader that just began can end.
     """
     jvm = spark.sparkContext._jvm
@@ -191,7 +210,7 @@ def swap(spark: SparkSession, df: DataFrame, path: str) -> None:
         fs.delete(jvm.org.apache.hadoop.fs.Path(path, f"v{v}"), True)
 
 
-def swapped(spark: SparkSession, path: str) -> DataFrame:
-    """The current version of a table written by `swap`."""
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a table written by `publish`."""
     version = spark.read.text(f"{path}/current").first()[0]
     return spark.read.parquet(f"{path}/v{version}")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from feedloom.functions.dates import seconds_between
 
@@ -94,23 +97,44 @@ def goal_share(opened: Column, goal: int = 5) -> Column:
     return F.least(F.lit(100), F.floor(100 * opened / goal + 0.5)).cast("int")
 
 
-def anchored_windows(requests: DataFrame, client: str, ts: str, limit: int = 20, seconds: int = 60, tie: str | None = None, max_rounds: int = 100_000) -> DataFrame:
-    """requests with allowed: at most `limit` per window; a window starts at the first request after the last one ended.
+def anchored_windows(requests: DataFrame, client: str, ts: str, limit: int = 20, seconds: int = 60, tie: str | None = None) -> DataFrame:
+    """requests with window_start and allowed: at most `limit` per window; a window starts at the first request after the last one ended.
 
-    The anchors depend on the data, so this is a fold over each client's requests. Requests are sliced where a pause of
-    at least one window separates them: there every window has ended, whatever came before, so slices are independent,
-    and a busy client's log is folded in parallel. Within a slice windows are found one by one: per slice an array of
-    instants (not of rows) is folded by a higher-order function.
+    The anchors depend on the data, so this is a fold in order. Requests are sliced where a pause of at least one window
+    separates them: there every window has ended, whatever came before, so slices are independent, and a busy client's log
+    is folded in parallel. A slice is read in order, batch by batch, with nothing but the last window in memory, so a slice
+    of any length costs one pass. Rows without an instant are in no window and are left out.
     """
     order = [F.col(ts)] + ([F.col(tie)] if tie else [])
     w = Window.partitionBy(client).orderBy(*order)
     pause = F.coalesce(seconds_between(F.col(ts), F.lag(ts).over(w)) >= seconds, F.lit(True))
-    sliced = requests.withColumn("__slice", F.sum(pause.cast("int")).over(w))
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    instants = sliced.groupBy(client, "__slice").agg(F.array_sort(F.collect_set(at)).alias("__ts"))
-    empty = F.array().cast("array<bigint>")
-    anchors = F.aggregate("__ts", empty, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= seconds * 1_000_000), F.array_append(acc, t)).otherwise(acc))
-    joined = sliced.join(instants.select(client, "__slice", anchors.alias("__anchors")), [client, "__slice"])
-    own = joined.withColumn("window_start", F.array_max(F.filter("__anchors", lambda a: a <= at)))
-    count = F.row_number().over(Window.partitionBy(client, "__slice", "window_start").orderBy(*order))
-    return own.withColumn("allowed", count <= limit).drop("__slice", "__anchors")
+    sliced = requests.filter(F.col(ts).isNotNull()).withColumn("__slice", F.sum(pause.cast("int")).over(w)).withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+    whole = sliced.withColumn("__key", F.xxhash64(client, "__slice"))
+    ordered = whole.repartition("__key").sortWithinPartitions("__key", F.col(client), "__slice", "__at", *order[1:])
+    names, span = requests.columns, seconds * 1_000_000
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, count = None, 0, 0
+        for batch in batches:
+            key = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("__key", "__slice")]
+            at = batch.column("__at").to_numpy(zero_copy_only=False)
+            starts, nth = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+            edges = [0, *(np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1])) + 1).tolist(), len(at)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                this = (key[0][a], key[1][a])
+                if this != last:
+                    last, start, count = this, at[a], 0
+                while a < b:  # one step per window, not per request
+                    end = a + int(np.searchsorted(at[a:b], start + span))
+                    starts[a:end], nth[a:end] = start, np.arange(count + 1, count + 1 + end - a)
+                    count += end - a
+                    a = end
+                    if a < b:
+                        start, count = at[a], 0
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(starts), pa.array(nth <= limit)], names=[*names, "window_start", "allowed"])
+
+    schema = StructType([*requests.schema.fields, StructField("window_start", LongType()), StructField("allowed", BooleanType())])
+    return ordered.mapInArrow(fold, schema)

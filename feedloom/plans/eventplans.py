@@ -94,6 +94,13 @@ def rate_limit_anchored(spark, sf):
     return sessions.anchored_windows(events(spark, sf), "user_id", "ts", 2, 43200, tie="event_id").select("event_id", "allowed")
 
 
+@query("bounded_cache", """
+SELECT user_id, stored_at FROM (SELECT user_id, max(ts) AS stored_at FROM events GROUP BY 1) WHERE stored_at > TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 10 HOUR ORDER BY stored_at DESC, user_id LIMIT 40""")
+def bounded_cache(spark, sf):
+    entries = events(spark, sf).select("user_id", F.col("ts").alias("stored_at"))
+    return streams.bounded_cache(entries, "user_id", "stored_at", F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 36_000, 40)
+
+
 @query("streaks", """
 WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS d FROM events), r AS (SELECT user_id, count(*) AS n, max(d) AS last FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY user_id ORDER BY d) AS INTEGER) AS i FROM d) GROUP BY user_id, i)
 SELECT user_id, sum(n) AS active_days, max(n) AS longest_streak, arg_max(n, last) AS last_streak, max(last) AS last_day FROM r GROUP BY user_id""")

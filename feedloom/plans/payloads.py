@@ -257,12 +257,12 @@ def orphans_removed(spark, sf):
     return spark.read.parquet(path).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("swapped_table", "SELECT doc_id, 2 AS version FROM documents")
-def swapped_table(spark, sf):
-    path = shared_path(spark, "swapped")
+@query("published_table", "SELECT doc_id, 2 AS version FROM documents")
+def published_table(spark, sf):
+    path = shared_path(spark, "published")
     for v in (1, 2):
-        merges.swap(spark, docs(spark, sf).select("doc_id", F.lit(v).alias("version")), path)
-    return merges.swapped(spark, path)
+        merges.publish(spark, docs(spark, sf).select("doc_id", F.lit(v).alias("version")), path)
+    return merges.published(spark, path)
 
 
 @query("key_violations", "SELECT 'fitness' AS \"table\", (SELECT count(*) FROM (SELECT id FROM fitness GROUP BY id HAVING count(*) > 1)) AS repeated UNION ALL SELECT 'customer', (SELECT count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1))")

@@ -46,6 +46,60 @@ def test_limiter_stream_equals_batch(spark, tmp_path):
     assert sorted((r["c"], r["ts"], r["allowed"]) for r in spark.table("limited_out").collect()) == want
 
 
+def test_limiter_goes_by_event_time(spark, tmp_path):
+    """Requests out of order within a batch are counted in order, and a window spans batches however long the query stalls."""
+    t = dt.datetime(2026, 1, 1)
+    rows = [("a", t + dt.timedelta(seconds=s)) for s in (50, 0, 10, 61, 30, 20)]
+    later = [("a", t + dt.timedelta(seconds=s)) for s in (70, 65, 100)]
+    for i, part in enumerate((rows, later)):
+        spark.createDataFrame(part, "c string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in{i}"))
+        spark.read.parquet(str(tmp_path / f"in{i}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("c string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streams.limited(stream, "c", "ts", 3, 60, "10 minutes").writeStream.outputMode("append").format("memory").queryName("by_event_time")
+    q = q.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(90)
+    got = sorted((r["ts"], r["allowed"]) for r in spark.table("by_event_time").collect())
+    assert [a for _, a in got] == [True, True, True, False, False, True, True, True, False]
+
+
+def test_publishing_on_change_only(spark):
+    held = {"df": None, "n": 0}
+
+    def write(df):
+        rows = df.collect()
+        held["df"], held["n"] = spark.createDataFrame(rows, df.schema), held["n"] + 1
+
+    run = streams.published(lambda: held["df"], write, "id", "id")
+    one = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    assert run(one, 0) and not run(one, 1) and not run(one.limit(0), 2)
+    assert run(spark.createDataFrame([(2, "c")], "id int, v string"), 3) and held["n"] == 2
+    assert sorted(map(tuple, held["df"].collect())) == [(1, "a"), (2, "c")]
+
+
+def test_anchored_windows_fold(spark):
+    """One pass over slices of any length, over batch borders, against a plain loop; rows without an instant are left out."""
+    import random
+
+    r = random.Random(3)
+    t = dt.datetime(2026, 1, 1)
+    rows = [(r.choice("aab"), t + dt.timedelta(seconds=r.randrange(0, 40_000)), i) for i in range(3_000)] + [("a", None, -1)]
+    df = spark.createDataFrame(rows, "c string, ts timestamp, i int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {x["i"]: x["allowed"] for x in sessions.anchored_windows(df, "c", "ts", 4, 60, "i").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for c in "ab":
+        start, n = None, 0
+        for _, at, i in sorted((x for x in rows if x[0] == c and x[1]), key=lambda x: (x[1], x[2])):
+            if start is None or (at - start).total_seconds() >= 60:
+                start, n = at, 0
+            n += 1
+            want[i] = n <= 4
+    assert got == want
+
+
 def test_package_reaches_the_workers(spark):
     """Once per application, whatever the working directory."""
     from feedloom import runtime

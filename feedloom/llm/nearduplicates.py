@@ -93,18 +93,15 @@ def _estimate(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(estimated((x == y).sum(axis=1), x.shape[1]))
 
 
-def _jaccard(width: int):
-    known = WordHashes()
+def _shingler(width: int):
+    """(class, shingles) of the texts of classes; the hashes are sorted."""
 
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = np.empty(len(a))
-        for i, (x, y) in enumerate(zip(a, b)):
-            x, y = shingle_set(words(x), width, known), shingle_set(words(y), width, known)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out[i] = common / (len(x) + len(y) - common)
-        return pd.Series(out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = WordHashes()
+        for pdf in batches:
+            yield pd.DataFrame({"class": pdf["class"], "shingles": [shingle_set(words(t), width, known).view(np.int64) for t in pdf["text"]]})
 
-    return similarity
+    return run
 
 
 def similar_texts(
@@ -144,13 +141,14 @@ def similar_texts(
     )
     needed = near.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct()
     full = source.withColumn("class", F.unhex("class"))
-    # One text per class that is a candidate; the others' texts don't outlive this join.
-    texts = stage(full.select("class", "text").join(needed, "class", "left_semi").groupBy("class").agg(F.min("text").alias("text")), "texts")
-    jaccard = F.pandas_udf(_jaccard(width), "double")
+    # The shingles of each class that is in a pair, read once, however many pairs it is in; the others' texts don't outlive this join.
+    texts = full.select("class", "text").join(needed, "class", "left_semi").groupBy("class").agg(F.min("text").alias("text"))
+    sets = stage(texts.mapInPandas(_shingler(width), "class binary, shingles array<bigint>"), "shingles")
+    common = F.size(F.array_intersect("sa", "sb"))
     links = (
-        near.join(texts.select(F.col("class").alias("class_a"), F.col("text").alias("ta")), "class_a")
-        .join(texts.select(F.col("class").alias("class_b"), F.col("text").alias("tb")), "class_b")
-        .select("class_a", "class_b", jaccard("ta", "tb").alias("similarity")).filter(F.col("similarity") >= threshold)
+        near.join(sets.select(F.col("class").alias("class_a"), F.col("shingles").alias("sa")), "class_a")
+        .join(sets.select(F.col("class").alias("class_b"), F.col("shingles").alias("sb")), "class_b")
+        .select("class_a", "class_b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity")).filter(F.col("similarity") >= threshold)
     )
     members = full.select("id", "class").join(of.select("class"), "class", "left_semi").distinct()
     return members, stage(links, "links")

@@ -179,15 +179,15 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = 2048, rows_per_
     items: one row per item, with a size of 1 or more. An item larger than the capacity is split into full pieces, each a
     container of its own, and a rest that is packed like other items; no other item is split. piece counts from 0, start
     is where the piece begins in the item. Rows with a null item or a size that is null or below 1 are left out. Equal
-    rows are separate items.
+    rows are separate items. The same items are packed alike in every run.
     """
     spark = items.sparkSession
     cap = F.lit(capacity).cast("bigint")
     sized = items.select(F.col(item).alias("item"), F.col(size).cast("bigint").alias("n")).filter("item is not null and n >= 1")
     pieces = stage(
         sized.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / cap))))
-        .select("item", "piece", (F.col("piece") * cap).alias("start"), F.least(cap, F.col("n") - F.col("piece") * cap).alias("size"), F.expr("uuid()").alias("u"))
-        .withColumn("salt", F.xxhash64("item", "piece", "u")).drop("u"), "pieces",
+        .select("item", "piece", (F.col("piece") * cap).alias("start"), F.least(cap, F.col("n") - F.col("piece") * cap).alias("size"))
+        .withColumn("salt", F.xxhash64("item", "piece")), "pieces",
     )
     histogram = {r[0]: r[1] for r in pieces.groupBy("size").count().collect()}  # at most `capacity` rows
     if not histogram:
@@ -219,3 +219,10 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = 2048, rows_per_
             "piece", "start", "size", "used", (cap - F.col("used")).alias("unused"),
         )
     )
+
+
+def totals(packed: DataFrame, capacity: int = 2048) -> DataFrame:
+    """(containers, used, unused, lower_bound): one row; no packing has fewer containers than lower_bound, the sizes' sum by the capacity."""
+    each = packed.groupBy("container").agg(F.sum("size").alias("size"))
+    sums = each.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("size"), F.lit(0)).alias("used"))
+    return sums.select("containers", "used", (F.col("containers") * capacity - F.col("used")).alias("unused"), F.ceil(F.col("used") / capacity).alias("lower_bound"))

@@ -144,6 +144,17 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(counts, "doc_id", "tokens")
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers the documents take, what stays unused, and the number that no packing can go below."""
+    return packing.totals(p6_containers(spark, sf_dir))
+
+
+def p7_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from which leaked spans were cut: how much of them leaked, and whether so much that they are dropped."""
+    cleaned = leakage.remove_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "eval_items"))
+    return cleaned.filter("leaked_words > 0").select("doc_id", "leaked_words", (F.floor(F.col("coverage") * 1e6 + 0.5) / 1e6).alias("coverage"), "dropped").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with a run of 12 or more words of an evaluation item."""
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
@@ -154,7 +165,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam.spam_pages(table(spark, sf_dir, "documents")).filter("is_spam").select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p1_source_shares": p1_source_shares, "p3_found": p3_found, "p3_entities": p3_entities, "p4_found": p4_found, "p4_records": p4_records, "p5_found": p5_found, "p5_groups": p5_groups, "p6_containers": p6_containers, "p6_totals": p6_totals, "p7_found": p7_found, "p7_removed": p7_removed, "p8_found": p8_found}
 
 SQL = {
     "p5_found": """
@@ -163,6 +174,14 @@ WITH t AS (SELECT id, regexp_extract_all(lower(any_value(coalesce(title, '') ||
      n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
      c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
 SELECT id_a, id_b FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * c >= x.n + y.n - c
+""",
+    "p7_removed": """
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),
+     i AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+     dr AS (SELECT doc_id, len(w) AS n, k, array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM d)),
+     ir AS (SELECT DISTINCT array_to_string(w[k:k + 11], ' ') AS run FROM (SELECT w, unnest(range(1, len(w) - 10)) AS k FROM i)),
+     p AS (SELECT DISTINCT doc_id, n, unnest(range(k, k + 12)) AS at_word FROM dr JOIN ir USING (run))
+SELECT doc_id, CAST(count(*) AS INTEGER) AS leaked_words, floor(count(*) / n * 1e6 + 0.5) / 1e6 AS coverage, count(*) / n > 0.5 AS dropped FROM p GROUP BY doc_id, n
 """,
     "p7_found": """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents),

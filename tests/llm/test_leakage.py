@@ -67,3 +67,24 @@ def test_long_text_and_repeats(spark):
     d = spark.createDataFrame([(1, "z " * 200_000 + item), (1, "z " * 200_000 + item)], "doc_id bigint, text string")
     i = spark.createDataFrame([(1, item), (1, item)], "item_id bigint, text string")
     assert [tuple(r) for r in leakage.find_leaks(d, i).collect()] == [(1, 1, 20)]
+
+
+def test_several_blocks_a_scan_and_several_scans(spark):
+    docs, items = data(7)
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {tuple(r) for r in leakage.find_leaks(d, i, min_words=5).collect()}
+    for scan in (1, 2, 100):
+        assert {tuple(r) for r in leakage.find_leaks(d, i, min_words=5, block_words=40, blocks_a_scan=scan).collect()} == want
+    one = {r["doc_id"]: (r["text"], r["leaked_words"]) for r in leakage.remove_leaks(d, i, min_words=5).collect()}
+    assert {r["doc_id"]: (r["text"], r["leaked_words"]) for r in leakage.remove_leaks(d, i, min_words=5, block_words=40, blocks_a_scan=2).collect()} == one
+
+
+def test_items_that_share_a_passage():
+    """States of a passage hold one set together, and the longest run of each item is still exact."""
+    shared = [f"s{i}" for i in range(30)]
+    items = [(k, [f"a{k}", *shared[k % 3 :], f"b{k}"]) for k in range(40)]
+    automaton = leakage.Automaton(items, 5)
+    assert len({id(x) for x in automaton.items.values()}) < 200
+    ws = ["z", *shared[1:20], "y", "a7", *shared[7 % 3 :], "b7"]
+    got, _ = automaton.matches(ws)
+    assert got == {k: longest(" ".join(ws), " ".join(x)) for k, x in items}

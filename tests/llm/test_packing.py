@@ -52,3 +52,17 @@ def test_plan_places_everything():
 def test_tokens(spark):
     df = spark.createDataFrame([(1, "hello world <|endoftext|>"), (2, ""), (3, None), (None, "x")], "doc_id bigint, text string")
     assert {r["doc_id"]: r["tokens"] for r in packing.token_counts(df, "doc_id", "text").collect()}.keys() == {1}
+
+
+def test_same_containers_in_every_run(spark):
+    r = random.Random(5)
+    df = spark.createDataFrame([(i, r.randrange(1, 130)) for i in range(500)], "item bigint, n bigint")
+    packed = [sorted(map(tuple, packing.pack(x, "item", "n", 128, rows_per_salt=60).collect())) for x in (df.repartition(3), df.repartition(7))]
+    assert packed[0] == packed[1]
+
+
+def test_totals(spark):
+    sizes = [(1, 100), (2, 28), (3, 128), (4, 60), (5, 300)]
+    t = packing.totals(packing.pack(spark.createDataFrame(sizes, "item bigint, n bigint"), "item", "n", 128), 128).first()
+    assert (t["containers"], t["used"], t["unused"], t["lower_bound"]) == (5, 616, 24, 5)
+    assert packing.totals(packing.pack(spark.createDataFrame([], "item bigint, n bigint"), "item", "n")).first()["containers"] == 0

@@ -94,7 +94,16 @@ def fractional(sizes: np.ndarray, demand: np.ndarray, capacity: int, eps: float
 
 
 def plan(histogram: dict[int, int], capacity: int, classes: int = 128, small: float = 1 / 16) -> list[tuple[dict[int, int], int]]:
-    """Runs of equal containers: ({length: items of it in each}, number of containers). Places every item of the histogram."""
+    """Runs of equal containers: ({length: items of it in each}, number of containers). Places every item of the histogram.
+
+    Where there are few items, rounding costs more than it gains; the plan is never worse than first-fit decreasing.
+    """
+    simple = _decreasing({n: c for n, c in histogram.items() if c > 0}, capacity)
+    solved = _solved(histogram, capacity, classes, small)
+    return min(solved, simple, key=lambda runs: sum(times for _, times in runs))
+
+
+def _solved(histogram: dict[int, int], capacity: int, classes: int, small: float) -> list[tuple[dict[int, int], int]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     unit = max(1, capacity // classes)
     runs: list[tuple[dict[int, int], int]] = []
@@ -131,6 +140,12 @@ def plan(histogram: dict[int, int], capacity: int, classes: int = 128, small: fl
                 runs.append((taken, times))
                 todo -= times
     runs = _fill(runs, left, capacity)
+    return runs + _decreasing(left, capacity)
+
+
+def _decreasing(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Each container takes the largest items that still fit; equal containers are one run. Empties `left`."""
+    runs = []
     while left:
         taken, room = {}, capacity
         for n in sorted(left, reverse=True):

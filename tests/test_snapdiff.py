@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.operators import snapdiff
+from feedloom.plans import problems
+from tests.compare import connection
 
 SCHEMA = "snap bigint, id string, title string, citations bigint, delivered_at timestamp_ntz, extra string"
 
@@ -91,3 +93,13 @@ def test_instants(spark):
     texts = ["2026-06-01T04:49:53.078Z", "2026-05-31T23:49:53.078-05:00", "2026-06-01 04:49:53.078Z", "2026-06-01T04:49:53.078", "junk", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(snapdiff.instant_micros(F.col("t"))).collect()]
     assert len(set(got[:4])) == 1 and got[4:] == [None, None]
+
+
+@pytest.mark.parametrize("cells", [96, 160, 256, 1024])
+def test_table_sizes_at_which_some_buckets_fail(spark, cells):
+    """Whether some, all or no buckets can be peeled at first, the rows are those of the SQL."""
+    folder = "/root/testdata/sf0.01"
+    want = sorted(tuple(r) for r in connection(folder).execute(problems.SQL["p2_found"]).fetchall())
+    rows = problems.numbered_snapshots(spark, folder)
+    got = sorted(tuple(r) for r in snapdiff.snapshot_changes(rows, problems.COMPARED, bucket_rows=512, cells=cells).collect())
+    assert got == want

@@ -246,22 +246,25 @@ def is_complete(c: Column) -> Column:
 
 
 _B, _E = "(^|[^a-z0-9_])", "([^a-z0-9_]|$)"
-#: Patterns of addresses and markup, of boilerplate, of promotion, and of vague openings. Word boundaries are
-#: spelled out, so that other engines read them alike; they run on lower-cased text.
+#: Phrases of boilerplate and of promotion, which stand as whole words; and what else is noise: addresses, also
+#: bare ones at the end, markup, and counters. Word boundaries are spelled out, so that other engines read them alike; all run
+#: on lower-cased text in one line.
+NOISE_PHRASES = (
+    "read (more|the (full|original) article)", "continue reading", r"the post\b.*[^a-z0-9_]appeared first on", "click here", "subscribe", "sign up for (our|the) newsletter", "all rights reserved",
+    "follow us (on|for)", "originally (appeared|published) (at|in|on)",
+    "sponsored content", "sponsored post", "sponsored by", "sponsor message", "paid content", "paid post", "paid partnership", "advertorial", "advertisement", "affiliate links?", "buy now", "shop now",
+    "order now", "free credits?", "use code", "promo code", "coupon code", "discount code", "limited[- ]time offer", "sign up now", "sign up today", "sign up for free", "subscribe now", "brought to you by",
+    r"(claim|redeem) (your|the|these)?\s*(free|offer|discount|credits?)", "(sign|get) up (now|today|for free)", "try (it|this|[a-z0-9_]+) (for )?free", "get [0-9]+ (in )?free credits?",
+)
+#: The phrases share their first boundary, so a text's characters inside words are passed over at once.
 NOISE = (
-    r"(https?://|www\.)\S+", _B + r"[a-z0-9]([a-z0-9-]*[a-z0-9])?\.(com|org|net|io|ai|co|app|dev)([/?#]\S*)?[.!?,;:]?\s*$", r"</?[a-z][^>]*>",
-    _B + r"read (more|the (full|original) article)" + _E, _B + "continue reading" + _E, _B + r"the post" + r"([^a-z0-9_]([^a]|a)*[^a-z0-9_]|[^a-z0-9_])" + "appeared first on" + _E,
-    _B + "click here" + _E, _B + "subscribe" + _E, _B + "sign up for (our|the) newsletter" + _E, _B + r"(article|comments) url\s*:", _B + r"points\s*:\s*[0-9]+",
-    _B + "all rights reserved" + _E, _B + "follow us (on|for)" + _E, _B + "originally (appeared|published) (at|in|on)" + _E,
-    _B + "(sponsored content|sponsored post|sponsored by|sponsor message|paid content|paid post|paid partnership|advertorial|advertisement|affiliate links?|buy now|shop now|order now"
-    "|free credits?|use code|promo code|coupon code|discount code|limited[- ]time offer|sign up now|sign up today|sign up for free|subscribe now|brought to you by)" + _E,
-    _B + r"(claim|redeem) (your|the|these)?\s*(free|offer|discount|credits?)" + _E, _B + "(sign|get) up (now|today|for free)" + _E,
-    _B + r"try (it|this|[a-z0-9_]+) (for )?free" + _E, _B + r"get [0-9]+ (in )?free credits?" + _E,
+    r"https?://\S", r"www\.\S", r"</?[a-z][^>]*>", _B + "(" + "|".join(NOISE_PHRASES) + ")" + _E, _B + r"((article|comments) url\s*:|points\s*:\s*[0-9])",
+    _B + r"[a-z0-9]([a-z0-9-]*[a-z0-9])?\.(com|org|net|io|ai|co|app|dev)([/?#]\S*)?[.!?,;:]?\s*$",
 )
 VAGUE = (
     "^(discover|explore|learn|find out|unlock|experience|reimagine|supercharge)" + _E,
     "^(this (article|post|story)|in this (article|post|story)|we (explore|explain|take a look))" + _E,
-    _B + "(everything|all|what) you need to know" + _E, _B + "(the future is here|game[- ]changer|one [a-z0-9_]+ at a time)" + _E, _B + "worth (a look|checking out|reading)" + _E,
+    _B + "((everything|all|what) you need to know|the future is here|game[- ]changer|one [a-z0-9_]+ at a time|worth (a look|checking out|reading))" + _E,
 )
 
 

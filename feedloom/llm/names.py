@@ -20,7 +20,7 @@ import unicodedata
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.runtime import stage
@@ -205,31 +205,48 @@ def _person_reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["name_id", "family", "given", "short", "with_e"])
 
 
-def short_forms(givens: DataFrame, *, least_share: float = 0.5, least_evidence: float = 10.0, most_givens: int = 12) -> DataFrame:
+def _pieces(name: str) -> Column:
+    """Every two neighbouring letters of a column, once."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(F.col(name), i, F.lit(2))))
+
+
+def short_forms(givens: DataFrame, *, least_share: float = 0.5, least_evidence: float = 10.0) -> DataFrame:
     """(short, formal) of given names with different initials, learned from (family, given).
 
     If one name is a short form of another, one person bears both: of the families that have the short form, far more have
-    the formal name too than by chance. Counted are families of at most `most_givens` given names (one that has them all
-    says nothing), and pairs of names that share two neighbouring letters. least_share of the short form's families must
-    have both, and their number times the logarithm of how much more often than by chance that is must reach
-    least_evidence. The rarer name is the short form.
+    the formal name too than by chance. Counted are all families, by how much they say: beside the short form, one of k
+    given names has the formal name by chance with (k - 1) * formal_n / (total - short_n), 1 at most and no less than any
+    family, where total counts the given names of all families, formal_n and short_n the families of each; so one that has
+    them all says nothing. Pairs of
+    names share two neighbouring letters. least_share of the short form's families must have both, each counting with
+    1 - chance, and the sum of the logarithms of how much more often than by chance that is must reach least_evidence. The
+    rarer name is the short form.
     """
     distinct = givens.select("family", "given").distinct()
-    telling = distinct.join(distinct.groupBy("family").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= most_givens).select("family"), "family", "left_semi")
-    telling = stage(telling, "telling-givens")
-    total = telling.agg(F.countDistinct("family").alias("families")).first()[0]
-    held = telling.groupBy("given").agg(F.count(F.lit(1)).alias("n"))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("given") - 1), lambda i: F.substring(F.col("given"), i, F.lit(2)))
-    lettered = telling.filter(F.length("given") > 1).select("family", "given", F.explode(F.array_distinct(pieces)).alias("two"))
-    x, y = lettered.withColumnRenamed("given", "short"), lettered.withColumnRenamed("given", "formal")
-    both = x.join(y, ["family", "two"]).filter(F.substring("short", 1, 1) != F.substring("formal", 1, 1)).select("family", "short", "formal").distinct()
+    sized = stage(distinct.join(distinct.groupBy("family").agg(F.count(F.lit(1)).alias("k")), "family"), "givens-by-family")
+    total, families = (max(1, n) for n in sized.agg(F.count(F.lit(1)), F.countDistinct("family")).first())
+    over = lambda sizes, value: F.aggregate(sizes, F.lit(0.0), lambda so_far, x: so_far + x["c"] * value(x["k"]))
+    held = sized.groupBy("given", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("given").agg(F.sum("c").alias("n"), F.collect_list(F.struct("k", "c")).alias("sizes"))
+    # No pair reaches more evidence than either name if all its families had both, and by a chance no greater than this.
+    most = over(F.filter("sizes", lambda x: x["k"] > 1), lambda k: F.greatest(F.lit(0.0), F.log(F.lit(float(total)) / ((k - 1) * F.col("n")))))
+    held = stage(held.filter(most >= least_evidence), "telling-givens")
+    lettered = sized.join(held.select("given", "n"), "given").filter(F.length("given") > 1).withColumn("two", F.explode(_pieces("given")))
+    x = lettered.select("family", "k", "two", F.col("given").alias("short"), F.col("n").alias("short_n"))
+    y = lettered.select("family", "two", F.col("given").alias("formal"), F.col("n").alias("formal_n"))
+    both = (
+        x.join(y, ["family", "two"]).filter((F.col("formal_n") > F.col("short_n")) & (F.substring("short", 1, 1) != F.substring("formal", 1, 1)))
+        .filter((F.col("k") - 1) * F.col("formal_n") < total - F.col("short_n"))
+    )
     counted = (
-        both.groupBy("short", "formal").agg(F.count(F.lit(1)).alias("both"))
-        .join(held.select(F.col("given").alias("short"), F.col("n").alias("short_n")), "short").join(held.select(F.col("given").alias("formal"), F.col("n").alias("formal_n")), "formal")
+        both.groupBy("short", "formal", "short_n", "formal_n", "k").agg(F.count(F.lit(1)).alias("c")).groupBy("short", "formal", "short_n", "formal_n").agg(F.collect_list(F.struct("k", "c")).alias("both"))
+        .join(held.select(F.col("given").alias("short"), "sizes"), "short")
     )
-    share = F.col("both") / F.col("short_n")
-    evidence = F.col("both") * F.log(share / (F.col("formal_n") / F.lit(float(max(1, total)))))
-    return counted.filter((F.col("formal_n") > F.col("short_n")) & (share >= least_share) & (evidence >= least_evidence)).select("short", "formal")
+    chance = lambda k: F.least(F.lit(1.0), F.greatest((k - 1) * F.col("formal_n") / (total - F.col("short_n")), F.col("formal_n") / families))
+    times = F.size(F.array_intersect(_pieces("short"), _pieces("formal")))  # a family counts once for each two letters
+    counted = counted.withColumn("times", times).withColumn("share", over("both", lambda k: 1 - chance(k)) / F.col("times") / over("sizes", lambda k: 1 - chance(k)))
+    evidence = over("both", lambda k: F.greatest(F.lit(0.0), F.log(F.col("share") / chance(k)))) / F.col("times")
+    return counted.filter((F.col("share") >= least_share) & (evidence >= least_evidence)).select("short", "formal")
 
 
 def _both_ways(near: DataFrame) -> DataFrame:

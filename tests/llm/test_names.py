@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -117,6 +118,61 @@ def test_recall_and_precision_on_names_of_no_list(spark, seed):
     assert len(without & want) < len(got & want)
 
 
+def plain_short_forms(rows, least_share=0.5, least_evidence=10.0):
+    """short_forms by every pair of names, all families counted."""
+    family, held = {}, {}
+    for f, g in rows:
+        family.setdefault(f, set()).add(g)
+        held.setdefault(g, set()).add(f)
+    total, found = sum(map(len, family.values())), set()
+    pieces = lambda g: {g[i : i + 2] for i in range(len(g) - 1)}
+    for s in held:
+        for g in held:
+            if s[0] == g[0] or len(held[g]) <= len(held[s]) or not pieces(s) & pieces(g):
+                continue
+            chance = {f: min(1.0, max((len(family[f]) - 1) * len(held[g]) / (total - len(held[s])), len(held[g]) / len(family))) for f in held[s]}
+            both, room = held[s] & held[g], sum(1 - chance[f] for f in held[s])
+            share = sum(1 - chance[f] for f in both) / room if room else 0
+            if share >= least_share and sum(max(0.0, math.log(share / chance[f])) for f in both) >= least_evidence:
+                found.add((s, g))
+    return found
+
+
+def families_of(sizes, seed, everything=0):
+    """(family, given) of families of so many formal names and most of their short forms, and the true (short, formal)."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("bdfgklmnprstvz") + r.choice("aeiou") for _ in range(4))
+    formal = sorted({word() for _ in range(80)})
+    nick = {g: g[2:4] + g[-2:] for g in formal[::3] if g[2] != g[0]}
+    rows = set()
+    for i, size in enumerate(sizes):
+        for g in r.sample(formal, size):
+            rows |= {(f"family{i}", g)} | ({(f"family{i}", nick[g])} if g in nick and r.random() < 0.8 else set())
+    rows |= {(f"everything{i}", g) for i in range(everything) for g in [*formal, *nick.values()]}
+    return sorted(rows), {(short, g) for g, short in nick.items()}
+
+
+@pytest.mark.parametrize("sizes, everything", [([20] * 200, 0), ([2] * 300, 0), ([2] * 300 + [14] * 60 + [40] * 10, 0), ([2] * 300, 40), ([1] * 300, 60), ([], 60)])
+def test_short_forms_count_families_of_any_size(spark, sizes, everything):
+    """Families of many given names are counted, by what they say; those that have every name teach nothing."""
+    rows, true = families_of(sizes, 3, everything)
+    got = {tuple(x) for x in names.short_forms(spark.createDataFrame(rows, "family string, given string")).collect()}
+    assert got == plain_short_forms(rows) and got <= true
+    if sizes and max(sizes) > 12:
+        assert len(got) > 0.9 * len(true)
+
+
+def test_short_form_in_families_of_many_given_names(spark):
+    """Every family has more than a dozen given names; a short form that is in no list still means its formal name."""
+    many = [(a + b).title() for a in "bdfgklmnpst" for b in ("avel", "erik", "omon", "ulin")]
+    family = [f"Ostervald{chr(97 + i % 26) * 3}{chr(97 + i // 26) * 3}" for i in range(60)]
+    typed = [f"{g} {family[i]}" for i in range(60) for g in random.Random(i).sample(many, 16)]
+    typed += [f"Torvin {family[i]}" for i in range(13)] + [f"Qetorvin {family[i]}" for i in range(12)]
+    e = entities(names.link_persons(spark.createDataFrame(list(enumerate(typed)), "name_id bigint, typed_name string")))
+    of = {t: e[k] for k, t in enumerate(typed)}
+    assert all(of[f"Qetorvin {family[i]}"] == of[f"Torvin {family[i]}"] for i in range(12))
+
+
 def test_families_one_letter_apart(spark):
     """Two families of several persons each are both names of their own, however alike; a slip of one is linked."""
     rows = [f"{g} {f}" for f in ("Hansen", "Jansen") for g in ("Anna", "Bert", "Clara", "A.", "B.", "C.", "Clara M.")] + ["Dirk Hansen", "Jansen, Dirk", "Anna Hasnen", "Bert Hansenn"]

@@ -23,11 +23,11 @@ Null and empty texts, and texts without a word, have no verdict.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator, Mapping
-from itertools import accumulate
-from operator import mul
+from collections import Counter, defaultdict
+from collections.abc import Container, Iterator, Mapping, Sequence
+from itertools import chain, count
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,15 +50,35 @@ _SEED = (
 SEED = dict.fromkeys(_SEED.split(), 0.03)
 LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)|https?://\S+|www\.\S+", re.I | re.S)
 TAG = re.compile(r"(?<!\w)#\w+")
-SENTENCES = re.compile(r"(?<=[.!?;])[\"”’»)\]]*\s+")
+#: The end of a sentence, its mark captured, which belongs to it.
+SENTENCES = re.compile(r"([.!?;])[\"”’»)\]]*\s+")
 CELLS = re.compile(r"\s[|»›>·•/]\s|;\s|\t")
+#: Without one of these a text has no cells; without one of those it has no links.
+CELL_MARKS, LINK_MARKS = "|»›>·•/;\t", ("://", "www.", "](", "<a ")
 #: What the automaton reads: words, and the marks that lists, links and tags are made of.
 TOKEN = re.compile(r"[^\W_]+|[#|<>\[\]=/@*•·»›]")
-NUMBER = re.compile(r"[0-9]+")
 MARKS = frozenset("#|<>[]=/@*•·»›")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: A word, and the mark behind it if that ends a clause.
-WORD_AND_MARK = re.compile(r"[^\W_]++[^\w '’-]?")
+#: What may follow a word inside a clause.
+INSIDE = frozenset(" '’-_")
+
+
+def _spaced(lowered: str, clauses: bool = False) -> str:
+    """A space for each character that is no letter, digit or line feed, so that splitting gives what WORD finds; with
+    `clauses`, a line feed for those that end a clause."""
+    for c in set(lowered):
+        if not c.isalnum() and c != "\n":
+            lowered = lowered.replace(c, "\n" if clauses and c not in INSIDE else " ")
+    return lowered
+
+
+def _nines(text: str) -> str:
+    """The text with 9 for every number."""
+    for c in "012345678":
+        text = text.replace(c, "9")
+    while "99" in text:
+        text = text.replace("99", "9")
+    return text
 
 
 # --- linking words -----------------------------------------------------------------------------------------------------
@@ -67,21 +87,18 @@ WORD_AND_MARK = re.compile(r"[^\W_]++[^\w '’-]?")
 def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         documents: Counter = Counter()
-        counts: dict[str, tuple[Counter, Counter]] = {}
+        counts: dict[str, tuple[Counter, Counter, Counter]] = {}
         for lang, t in zip(pdf["lang"], pdf["text"]):
-            held, uses = counts.setdefault(lang, (Counter(), Counter()))
-            ws = WORD_AND_MARK.findall(t.lower() + "\n")
+            held, uses, ends = counts.setdefault(lang, (Counter(), Counter(), Counter()))
+            t = _spaced(t.lower(), clauses=True)
+            ws = t.split()
             documents[lang] += 1
-            held.update({w if w[-1].isalnum() else w[:-1] for w in set(ws)})
+            held.update(set(ws))
             uses.update(ws)
+            ends.update([clause.rpartition(" ")[2] for clause in t.split("\n")])  # '' where no word stands before the end
         rows = [(lang, None, n, 0, 0) for lang, n in documents.items()]
-        for lang, (held, uses) in counts.items():
-            inside = {w: n for w, n in uses.items() if w[-1].isalnum()}
-            ends: Counter = Counter()
-            for w, n in uses.items():
-                if not w[-1].isalnum():
-                    ends[w[:-1]] += n
-            rows += [(lang, w, n, inside.get(w, 0) + ends[w], ends[w]) for w, n in held.items() if not w.isdigit()]
+        for lang, (held, uses, ends) in counts.items():
+            rows += [(lang, w, n, uses[w], ends[w]) for w, n in held.items() if not w.isdigit()]
         yield pd.DataFrame(rows, columns=["lang", "word", "held", "uses", "ends"])
 
 
@@ -124,23 +141,27 @@ def _units(text: str) -> list[str]:
             lines[-1] += " " + line
         else:
             lines.append(line)
-    return [u for line in lines for u in SENTENCES.split(line) if u and not u.isspace()]
+    units = []
+    for line in lines:
+        parts = SENTENCES.split(line)
+        units += [u + mark for u, mark in zip(parts[::2], [*parts[1::2], ""])] if len(parts) > 1 else parts
+    return units
 
 
 #: Share of linking words from which on a string reads as a sentence, and the number of words for which it needs a further kind.
 LINKED, WORDS_A_KIND = 0.12, 15
 
 
-def has_clause(unit: str, core: list[str], linking: Mapping[str, float] = SEED) -> bool:
-    """Does the unit read as a sentence? core: its lower-cased words without those of links and tags."""
+def has_clause(unit: str, core: list[str], linking: Container[str] = SEED, cells: bool = True) -> bool:
+    """Does the unit read as a sentence? core: its lower-cased words without those of links and tags. cells: may it hold cells?"""
     n = len(core)
     if n < 4:
         return False
-    found = [w for w in core if w in linking]
+    found = [*filter(linking.__contains__, core)]
     kinds = len(set(found))
     if kinds * WORDS_A_KIND < n or kinds < 2 and n < 6:
         return False
-    if len(CELLS.findall(unit)) * 4 > n:
+    if cells and len(CELLS.findall(unit)) * 4 > n:
         return False
     if kinds >= 2 and len(found) >= LINKED * n:
         return True
@@ -150,32 +171,53 @@ def has_clause(unit: str, core: list[str], linking: Mapping[str, float] = SEED)
 class PageAutomaton:
     """Suffix automaton of one page's tokens, with the number of occurrences of each state.
 
-    The page is cut at the tokens that occur less than `least` times: no substring that occurs so often holds one, so the
-    automaton of the pieces has every maximal substring that occurs `least` times, with its true count.
+    The page is cut at the tokens that occur less than `least` times, and between two tokens that follow each other less
+    often: no substring that occurs so often holds one, so the automaton of the pieces has every maximal substring that
+    occurs `least` times, with its true count. Most pieces are single tokens, which are only counted.
     """
 
-    def __init__(self, codes: list[int], least: int = 1):
-        times = Counter(codes) if least > 1 else None
-        rare = {w for w, n in times.items() if n < least} if times else ()
-        room = 2 * len(codes) + 2
-        following: list[dict[int, int]] = [{}]
-        link, length, count, end = [0] * room, [0] * room, [0] * room, [0] * room
-        link[0] = -1
-        path = [0] * len(codes)
-        last, new = 0, 1  # new: the next state's number
-        for i, w in enumerate(codes):
-            if w in rare:
+    def __init__(self, codes: Sequence[int], least: int = 1):
+        at = np.asarray(codes, dtype=np.int64)
+        n = len(at)
+        times = np.bincount(at)
+        often = times[at] >= least
+        joined = np.zeros(n + 1, dtype=bool)  # at i: is token i in one piece with the one before
+        pairs = at[:-1] * len(times) + at[1:]
+        ordered = np.sort(pairs[often[:-1] & often[1:]])
+        if len(ordered) >= least:
+            met = ordered[least - 1 :][ordered[least - 1 :] == ordered[: len(ordered) - least + 1]]  # pairs that occur so often, in order
+            if len(met):
+                joined[1:n] = met[np.minimum(met.searchsorted(pairs), len(met) - 1)] == pairs
+        strung = joined[:-1] | joined[1:]
+        singles = np.flatnonzero(often & ~strung)
+        alone = np.bincount(at[singles], minlength=len(times))
+        held = np.flatnonzero(alone)
+        new = len(held) + 1  # the next state's number
+        state, ended = np.zeros(len(times), dtype=np.int64), np.zeros(len(times), dtype=np.int64)
+        state[held] = np.arange(1, new)
+        ended[at[singles]] = singles
+        strung = np.flatnonzero(strung)
+        room = [0] * (2 * len(strung))
+        following: list[dict[int, int]] = [dict(zip(held.tolist(), range(1, new))), *({} for _ in range(1, new))]
+        link, length, count, end = [-1] + [0] * (new - 1) + room, [0] + [1] * (new - 1) + room, [0, *alone[held].tolist(), *room], [0, *ended[held].tolist(), *room]
+        path = np.zeros(n, dtype=np.int64)
+        path[singles] = state[at[singles]]
+        walked = []
+        last = 0
+        for i, w, on in zip(strung.tolist(), at[strung].tolist(), joined[strung].tolist()):
+            if not on:
                 last = 0
-                continue
             q = following[last].get(w)
             if q is not None:  # only where a piece begins like an earlier one
                 if length[last] + 1 != length[q]:
                     self._split(following, link, length, end, last, w, q, new)
                     q, new = new, new + 1
                 count[q] += 1
-                path[i] = last = q
+                walked.append(q)
+                last = q
                 continue
-            path[i] = this = new
+            this = new
+            walked.append(this)
             new += 1
             following.append({})
             length[this] = length[last] + 1
@@ -194,6 +236,7 @@ class PageAutomaton:
                 known[w] = this
                 p = link[p]
             last = this
+        path[strung] = walked
         order = sorted(range(1, new), key=length.__getitem__, reverse=True)
         for v in order:
             count[link[v]] += count[v]
@@ -212,7 +255,7 @@ class PageAutomaton:
             following[p][w] = clone
             p = link[p]
 
-    def covered(self, least_count: int, least_density: float = 0.0, linking: list[bool] | None = None) -> list[bool]:
+    def covered(self, least_count: int, least_density: float = 0.0, linking: Sequence[bool] | None = None) -> list[bool]:
         """Tokens in a maximal substring that occurs least_count times and makes up least_density of the page.
 
         With `linking`, the substring must be a keyword: not of linking words alone, and without clause structure itself (less
@@ -222,7 +265,9 @@ class PageAutomaton:
         n = len(self.path)
         link, length, count, end = self.link, self.length, self.count, self.end
         need = max(least_count, least_density * n)
-        before = [*accumulate(linking, initial=0)] if linking is not None else None
+        if not any(count[v] >= least_count and count[v] * length[v] >= need for v in self.by_length):
+            return [False] * n
+        before = [0, *np.cumsum(linking).tolist()] if linking is not None else None
         # The length of each state's longest suffix that qualifies, shorter states first: linear, however periodic the page is.
         best = [0] * len(link)
         for v in self.by_length:
@@ -245,17 +290,10 @@ class PageAutomaton:
                     if best[v]:
                         continue
             best[v] = best[link[v]]
-        out = [False] * n
-        done = n  # everything from here on is settled
-        for i in range(n - 1, -1, -1):
-            k = best[self.path[i]]
-            if k:
-                start = i + 1 - k
-                if start < done:
-                    stop = done if done <= i else i + 1
-                    out[start:stop] = [True] * (stop - start)
-                    done = start
-        return out
+        longest = np.array(best)[self.path]
+        last = np.flatnonzero(longest)
+        begun = np.bincount(last + 1 - longest[last], minlength=n + 1) - np.bincount(last + 1, minlength=n + 1)
+        return (np.cumsum(begun)[:n] > 0).tolist()
 
 
 #: Times that a repeated substring of a list, and a dense keyword among sentences, must occur.
@@ -273,49 +311,48 @@ def spam_share(
 
     linking: the linking words with the share of all words that they usually are.
     """
-    read = []
-    tokens: list[str] = []
-    total = 0
-    for u in _units(NUMBER.sub("9", text)):
-        own = TOKEN.findall(u.lower())
-        ws = own if MARKS.isdisjoint(own) else [w for w in own if w not in MARKS]
-        if not ws:
-            continue
-        n = len(ws)
-        linked = "://" in u or "www." in u or "](" in u or "<a " in u
-        tagged = "#" in u
-        core, rest = ws, u
-        if linked or tagged:
-            rest = LINK.sub(" ", u) if linked else u
-            rest = TAG.sub(" ", rest) if tagged else rest
-            core = WORD.findall(rest.lower())
-            if tagged:
-                own = TOKEN.findall(HUMP.sub(" ", u).lower())
-        tokens += own
-        read.append((rest, core, n, len(own)))
-        total += n
-    if not total:
+    text = _nines(text)
+    units = _units(text)
+    words = [*map(str.split, _spaced("\n".join(units).lower()).split("\n"))]
+    read = [(u, ws, len(ws), ws) for u, ws in zip(units, words) if ws]  # what is left of it, its words there, number of words, tokens
+    if not read:
         return None
-    times = Counter(tokens)
+    if any(m in text for m in MARKS):
+        linkable = any(m in text for m in LINK_MARKS)
+        for at, (u, core, n, _) in enumerate(read):
+            rest, own = u, TOKEN.findall(u.lower())
+            linked = linkable and any(m in u for m in LINK_MARKS)
+            tagged = "#" in u
+            if linked or tagged:
+                rest = LINK.sub(" ", u) if linked else u
+                rest = TAG.sub(" ", rest) if tagged else rest
+                core = WORD.findall(rest.lower())
+                if tagged:
+                    own = TOKEN.findall(HUMP.sub(" ", u).lower())
+            read[at] = rest, core, n, own
+    number = defaultdict(count().__next__)
+    codes = np.fromiter(map(number.__getitem__, chain.from_iterable([x[3] for x in read])), np.int64)
+    total = sum([x[2] for x in read])
+    vocabulary, times = [*number], np.bincount(codes)
     least = max(LEAST_COUNT, OVERUSED * total)
-    overused = {w for w, c in times.items() if c >= least and c > TIMES_USUAL * linking.get(w, 1.0) * total}
-    links = linking if not overused else {w: r for w, r in linking.items() if w not in overused}
-    units = [(n, k, len(core) >= 0.5 * n and has_clause(rest, core, links)) for rest, core, n, k in read]
-    number = {w: i for i, w in enumerate(times)}
-    codes = [number[w] for w in tokens]
-    all_clauses = all(x[2] for x in units)
+    frequent = [(vocabulary[c], int(times[c])) for c in np.flatnonzero(times >= least).tolist()]
+    overused = {w for w, c in frequent if c > TIMES_USUAL * linking.get(w, 1.0) * total}
+    links = linking.keys() - overused if overused else linking
+    cells = any(m in text for m in CELL_MARKS)
+    units = [(n, len(own), len(core) >= 0.5 * n and has_clause(rest, core, links, cells)) for rest, core, n, own in read]
+    clauses = {x[2] for x in units}
+    all_clauses = False not in clauses
     automaton = PageAutomaton(codes, LEAST_COUNT if all_clauses else REPEATED)
-    is_content = [len(w) > 1 and w not in links for w in times]
-    sizes = [*map(len, times)]
-    content = [is_content[c] for c in codes]
-    is_linking = [w in links for w in times]
-    size = [sizes[c] for c in codes]
-    nothing = [False] * len(codes)
-    keyword = automaton.covered(LEAST_COUNT, density, [is_linking[c] for c in codes]) if any(x[2] for x in units) else nothing
-    repeated = nothing if all_clauses else automaton.covered(REPEATED)
-    sized = [*accumulate(size, initial=0)]
-    stuffing = [*accumulate(map(mul, size, map(mul, keyword, content)), initial=0)] if True in keyword else None
-    repetition = [*accumulate(map(mul, size, repeated), initial=0)]
+    is_linking = np.fromiter(map(links.__contains__, vocabulary), bool, len(times))
+    keyword = automaton.covered(LEAST_COUNT, density, is_linking[codes]) if True in clauses else []
+    has_keywords = True in keyword
+    if all_clauses and not has_keywords and stuffed > 0:
+        return total, 0.0, 0.0
+    sizes = np.fromiter(map(len, vocabulary), np.int64, len(times))
+    size = sizes[codes]
+    sized = [0, *np.cumsum(size).tolist()]
+    stuffing = [0, *np.cumsum(size * np.array(keyword) * ((sizes > 1) & ~is_linking)[codes]).tolist()] if has_keywords else None
+    repetition = [0, *np.cumsum(size * np.array(automaton.covered(REPEATED))).tolist()] if not all_clauses else None
     against = at = chars = hits = 0
     k = 0
     while k < len(units):

@@ -1,6 +1,11 @@
 import random
+import re
+from collections import Counter
+
+import pandas as pd
 
 from feedloom.llm import spam
+from feedloom.llm.words import WORD
 
 GENUINE = "We followed forty runners for nine weeks and recorded their sleep. The coaches adjusted the load when the heart rate rose. No link between sleep and mood was found in this group."
 
@@ -119,3 +124,45 @@ def test_automaton_of_pieces():
 def test_no_spam_without_repetition():
     fresh = [f"{a}{b}{c}" for a in "bcdfg" for b in "hjklm" for c in "npqrs"]
     assert share(" ".join(fresh)) == 0.0 and share(" ".join(fresh[:10] * 6)) == 1.0
+
+
+def test_automaton_is_no_larger_than_what_repeats():
+    """Tokens that are frequent, but never beside the same neighbours, have one state each, not one for every place."""
+    codes = [(i * step) % 31 for step in range(1, 16) for i in range(31)]
+    assert max(Counter(zip(codes, codes[1:])).values()) < 4 <= min(Counter(codes).values())
+    a = spam.PageAutomaton(codes, 4)
+    assert len(a.by_length) == 31 and {a.count[v] for v in a.by_length} == {15}
+    for linking in (None, [c < 3 for c in codes]):
+        assert a.covered(4, 0.03, linking) == spam.PageAutomaton(codes).covered(4, 0.03, linking)
+    assert spam.PageAutomaton([0], 2).covered(2) == [False] and spam.PageAutomaton([0]).covered(1) == [True]
+
+
+#: Letters, digits, marks, spaces and signs that tell the ways of splitting apart: a sharp s, a dotted I, a final sigma, a
+#: combining accent, digits of other scripts and sizes, white space that is no space, an underscore.
+ODD = "abC7 9 0_'’-.,;:!?#|/\"»”)\n\t\r\x0b\u00a0\u2028ßİΣςé\u0301٣²½Ⅷ文ª"
+
+
+def odd_texts(n=300):
+    r = random.Random(11)
+    return ["".join(r.choice(ODD) for _ in range(r.randrange(60))) for _ in range(n)]
+
+
+def test_splitting_finds_what_the_patterns_find():
+    for t in odd_texts():
+        assert spam._spaced(t.lower()).split() == WORD.findall(t.lower())
+        assert spam._nines(t) == re.sub("[0-9]+", "9", t)
+        lines = [x.lstrip("> ").rstrip() if x.startswith(">") else x.strip() for x in t.split("\n")]
+        assert spam._units(t) == [u for x in lines if x for u in re.split(r"(?<=[.!?;])[\"”’»)\]]*\s+", x)]
+
+
+def test_word_counts_are_those_of_the_pattern():
+    texts = odd_texts()
+    held, uses, ends = Counter(), Counter(), Counter()
+    for t in texts:
+        found = re.findall(r"([^\W_]++)([^\w '’-]?)", t.lower() + "\n")
+        held.update({w for w, _ in found})
+        uses.update(w for w, _ in found)
+        ends.update(w for w, mark in found if mark)
+    rows = next(spam._word_counts(iter([pd.DataFrame({"lang": "en", "text": texts})])))
+    got = {r.word: (r.held, r.uses, r.ends) for r in rows.itertuples() if isinstance(r.word, str)}
+    assert got == {w: (held[w], uses[w], ends[w]) for w in held if not w.isdigit()}
